@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, toxicity
+from . import mixing, packing, quality, toxicity
 from .common import documents, fold
 
 
@@ -40,9 +40,40 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir), [5, 2, 1], 3)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight, 3 * source_size AS cap FROM s0),
+s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS level
+       FROM s1 WINDOW w AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS top FROM s2),
+s AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(cap::DOUBLE, coalesce(top * weight, cap::DOUBLE)) END AS target FROM s3),
+e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected,
+             (('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+f AS (SELECT *, least(floor(expected + 1e-12), 3)::BIGINT AS certain FROM e),
+g AS (SELECT *, greatest(expected - certain, 0.0::DOUBLE) AS chance FROM f),
+h AS (SELECT *, CASE WHEN chance > 0 AND chance < 1 AND size > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS odds FROM g),
+r AS (SELECT *, least(floor(odds / (1 + odds) * 281474976710656.0::DOUBLE)::BIGINT, 281474976710655) AS pareto FROM h),
+b AS (SELECT source, pareto, sum(size) AS there FROM r WHERE pareto IS NOT NULL GROUP BY ALL),
+c AS (SELECT b.*, coalesce(sum(there) OVER (PARTITION BY source ORDER BY pareto ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+n AS (SELECT DISTINCT source, target - certain * source_size AS need FROM g),
+l AS (SELECT c.source, max_by(pareto, pareto) AS pareto, max_by(need - before, pareto) AS need, max_by(there, pareto) AS there
+      FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE need - before >= 0 GROUP BY c.source),
+t AS (SELECT r.*, CASE WHEN size > 0 THEN r.certain ELSE 0 END + CASE WHEN r.pareto < l.pareto OR (r.pareto = l.pareto AND l.need * 2 >= l.there) THEN 1 ELSE 0 END AS copies
+      FROM r LEFT JOIN l ON r.source IS NOT DISTINCT FROM l.source)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": OP10_SQL}
