@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, toxicity
+from . import exact_dedup, mixing, packing, quality, toxicity, url_lists
 from .common import documents, fold
 
 
@@ -40,6 +40,58 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of `pages`, by rule: a host's checksum tells whether and when it is blocked, let off and blocked again; parent domains and `www` hosts too."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("key")).where("key != ''").distinct()
+    labels = F.split("key", r"\.")
+    parents = hosts.where(F.size(labels) > 2).select(F.array_join(F.slice(labels, 2, F.size(labels)), ".").alias("key"))
+    number = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("int")
+    keys = hosts.union(parents).distinct().withColumn("number", number).where("number % 5 < 3")
+    step = lambda base, i: F.expr(f"timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(number % {base} + {i} * (number % 37 + 20), number % 24, 0, 0)")
+    entries = F.array(
+        F.struct(step(90, 0).alias("since"), F.when(F.col("number") % 7 == 0, "allow").otherwise("block").alias("action")),
+        F.struct(step(90, 1).alias("since"), F.lit("remove").alias("action")),
+        F.struct(step(90, 3).alias("since"), F.when(F.col("number") % 3 == 0, "allow").otherwise("block").alias("action")),
+    )
+    return keys.select("key", F.explode(entries).alias("e")).select("key", "e.since", "e.action")
+
+
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` has no time of fetching, so it is set by rule: hour page_id * 7 of the year 2024, over and over."""
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(page_id * 7 % 8784 as int), 0, 0)")
+    return url_lists.judge(pages.withColumn("fetched", fetched), list_entries(pages), ["page_id", "url", "fetched"])
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_hours((page_id * 7 % 8784)::INT) AS fetched,
+                  regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', '') AS host FROM pages),
+h AS (SELECT DISTINCT host AS key FROM p WHERE host <> ''),
+k AS (SELECT key FROM h UNION SELECT array_to_string(string_split(key, '.')[2:], '.') FROM h WHERE len(string_split(key, '.')) > 2),
+m AS (SELECT key, ('0x' || substr(md5(key), 1, 6))::INT AS number FROM k),
+e AS (SELECT key, TIMESTAMP '2024-01-01 00:00:00' + to_days(number % 90 + i * (number % 37 + 20)) + to_hours(number % 24) AS since,
+             CASE i WHEN 0 THEN CASE WHEN number % 7 = 0 THEN 1 ELSE 0 END WHEN 1 THEN 2 ELSE CASE WHEN number % 3 = 0 THEN 1 ELSE 0 END END AS action
+      FROM m, (VALUES (0), (1), (3)) t(i) WHERE number % 5 < 3),
+v AS (SELECT key, action, since, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM e),
+c AS (SELECT page_id, url, fetched, host, count(*) AS n_rows FROM p GROUP BY ALL),
+x AS (SELECT c.*, unnest(CASE WHEN len(string_split(host, '.')) < 2 THEN [host] ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END) AS key FROM c),
+j AS (SELECT x.page_id, x.url, x.fetched, x.host, x.n_rows, v.key AS list_key, v.action, v.since,
+             row_number() OVER (PARTITION BY x.page_id, x.url, x.fetched ORDER BY length(v.key) DESC NULLS LAST) AS r
+      FROM x LEFT JOIN v ON x.key = v.key AND v.action < 2 AND x.fetched >= v.since AND (v.until IS NULL OR x.fetched < v.until))
+SELECT page_id, url, fetched, host, n_rows, CASE action WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'none' END AS verdict, list_key, since FROM j WHERE r = 1
+"""
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(documents(spark, sf_dir))
+
+
+OP7_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir), [5, 2, 1], 3)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -76,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
