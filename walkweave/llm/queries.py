@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, toxicity, url_lists
+from . import exact_dedup, mixing, packing, quality, recurrent_lm, toxicity, url_lists
 from .common import documents, fold
 
 
@@ -40,6 +40,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = recurrent_lm.fit(docs, not_in_fold(7, 2))
+    return recurrent_lm.score(docs, model, fold(F.col("doc_id"), 7) == 2)
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of `pages`, by rule: a host's checksum tells whether and when it is blocked, let off and blocked again; parent domains and `www` hosts too."""
     hosts = pages.select(url_lists.host_of(F.col("url")).alias("key")).where("key != ''").distinct()
