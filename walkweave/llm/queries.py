@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, recurrent_lm, toxicity, url_lists
+from . import exact_dedup, mixing, order_minhash, packing, quality, recurrent_lm, toxicity, url_lists
 from .common import documents, fold
 
 
@@ -40,6 +40,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited(documents(spark, sf_dir))
+
+
 def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = recurrent_lm.fit(docs, not_in_fold(7, 2))
