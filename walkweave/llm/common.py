@@ -7,6 +7,7 @@ import math
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 BREAK = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -113,7 +112,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1024)
 def odd(k: int) -> np.uint64:
     """The k-th of a row of odd 64-bit multipliers."""
-    with np.errstate(over="ignore"):
-        return mix(np.array([(k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] | np.uint64(1)
+    return mix(np.array([(k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] | np.uint64(1)
+
+
+def scaled(n: int, k: int) -> np.uint64:
+    """n times the k-th odd multiplier, modulo 2^64."""
+    return np.uint64(n * int(odd(k)) & 0xFFFFFFFFFFFFFFFF)
