@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, order_minhash, packing, quality, recurrent_lm, toxicity, url_lists
+from . import exact_dedup, mixing, ngram_join, order_minhash, packing, quality, recurrent_lm, substring_dedup, toxicity, url_lists
 from .common import documents, fold
 
 
@@ -106,6 +106,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(documents(spark, sf_dir), ngram_join.Params(4, 85, 100)).drop("uid")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated(documents(spark, sf_dir)).drop("uid", "spans")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir), [5, 2, 1], 3)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
