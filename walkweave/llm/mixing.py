@@ -35,8 +35,9 @@ def targets(sizes: DataFrame, weights: list[int], copies: int) -> DataFrame:
     s = s.withColumn("total", F.sum("source_size").over(everything)).withColumn("all_weight", F.sum("weight").over(everything))
     # With all sources before this one capped, the others' level:
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
-    return s.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))).alias("target"))
+    # It rises while sources are capped rightly and falls once one is that shouldn't be: the highest is the level sought.
+    s = s.withColumn("level", F.max("level").over(everything))
+    return s.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
 
 
 def mix(docs: DataFrame, weights: list[int] = [5, 2, 1], copies: int = 3, seed: int = 11, column: str = "text", keep: list[str] | None = None) -> DataFrame:  # noqa: B006
