@@ -28,9 +28,9 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(col, UPPER, LOWER)
+def lower_words(col: Column) -> Column:
+    """The words of a text in order, A-Z lower-cased and nothing else. One pass of translate() also makes all blanks spaces, so the split needs no pattern."""
+    return F.array_remove(F.split(F.translate(F.coalesce(col, F.lit("")), UPPER + BLANKS[1:], LOWER + " " * 5), " "), "")
 
 
 def words(col: Column) -> Column:
@@ -39,9 +39,9 @@ def words(col: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, BREAK))
 
 
-def word_hashes(col: Column) -> Column:
+def hashes(words: Column) -> Column:
     """A 64-bit hash for each word, in order."""
-    return F.transform(words(col), lambda w: F.xxhash64(w))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, lists, mix, odd, parts_for, text_of, words
+from .common import hashes as hash_words
 from .fm_index import FMIndex
 
 LAST = np.int64(2**63 - 1)
@@ -226,7 +227,7 @@ def repeated(docs: DataFrame, p: Params = Params(), column: str = "text", send_i
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), words(text_of(column)).alias("words"))
     joined = F.array_join("words", " ")
     class_ = F.xxhash64(joined).alias("class")
-    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("w")
+    hashes = hash_words(F.col("words")).alias("w")
     table = cut(rows.select("uid", "doc_id", F.size("words").cast("long").alias("n_words"), class_, F.sha2(joined, 256).alias("sha")), "repeats-rows")
     long_ = table.where(F.col("n_words") >= p.window)
     order = F.coalesce("doc_id", F.lit(int(LAST)))
