@@ -44,9 +44,12 @@ def with_signature(rows: DataFrame, text: str, name: str, k: int, bins: int, pic
     rows = rows.withColumn("runs", F.when(size > 0, starts).otherwise(F.array().cast("array<int>")))
     # The new hash: bin, then the rank within it, then the position. It depends on k-mer and occurrence, not on the position.
     number = lambda x, o: F.shiftleft(F.xxhash64(head(x), o), PLACE).bitwiseOR(x.bitwiseAND(low))
-    single = F.transform("km", lambda x: number(x, F.lit(0)))
-    run = lambda s, r: F.transform(F.slice("km", s + 1, F.coalesce(F.get("runs", r + 1), size) - s), number)
-    numbered = F.when(F.size("runs") == size, single).otherwise(F.flatten(F.transform("runs", run)))
+    first = F.transform("runs", lambda s: number(F.get("km", s), F.lit(0)))
+    # Elements are taken by their places: slice() would copy the whole array for each run.
+    after = lambda s, r: F.transform(F.sequence(s + 1, F.coalesce(F.get("runs", r + 1), size) - 1), lambda i: number(F.get("km", i), i - s))
+    longer = F.filter(F.transform("runs", lambda s, r: F.when(F.coalesce(F.get("runs", r + 1), size) - s > 1, F.struct(s.alias("s"), r.alias("r")))), lambda x: x.isNotNull())
+    more = F.flatten(F.transform(longer, lambda x: after(x["s"], x["r"])))
+    numbered = F.when(F.size("runs") == size, first).otherwise(F.concat(first, more))
     rows = rows.withColumn("km", F.sort_array(numbered)).drop("runs")
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - (bins - 1).bit_length())
     # Sorted as signed numbers, bins come in the order of their signed top bits; each bin's entries stand together, smallest first.
@@ -59,13 +62,12 @@ def with_signature(rows: DataFrame, text: str, name: str, k: int, bins: int, pic
     rows = rows.withColumn("e", ends)
 
     def entry(i: Column, r: Column) -> Column:
-        first = F.coalesce(F.get("e", r - 1) + 1, F.lit(0))
-        taken = F.transform(F.slice("km", first + 1, i - first + 1), lambda x: x["h"])
-        return F.struct(F.get("km", i)["b"].cast("int").alias("b"), F.xxhash64(taken).alias("s"))
+        begin = F.coalesce(F.get("e", r - 1) + 1, F.lit(0))
+        return F.xxhash64(F.transform(F.sequence(begin, i), lambda j: F.get("km", j)["h"]))
 
-    filled = F.map_from_entries(F.transform("e", entry))
-    rows = rows.withColumn("e", filled)
-    return rows.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_element_at("e", b))).drop("km", "e")
+    rows = rows.withColumns({"filled": F.transform("e", lambda i: F.get("km", i)["b"]), "entries": F.transform("e", entry)})
+    spread = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.get("entries", F.array_position("filled", b.cast("long")).cast("int") - 1))
+    return rows.withColumn(name, F.when(F.size("e") == bins, F.col("entries")).otherwise(spread)).drop("km", "e", "filled", "entries")
 
 
 def likeness(a: str, b: str) -> Column:
