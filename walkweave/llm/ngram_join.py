@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, cut, lists, mix, odd, parts_for, scaled, text_of, word_hashes
+from .common import bounded_batches, cut, lists, lower_words, mix, odd, parts_for, scaled, text_of
+from .common import hashes as hash_words
 from .components import connected_components
 
 SEEDS = 4
@@ -237,36 +238,33 @@ def _verify(p: Params):
     return run
 
 
-def _stray(p: Params):
-    """A large group that has sets of several components -> pairs worth a try that would join them: a forest over the components. `tested` pairs aren't tried again."""
+def _stray(p: Params, most: int):
+    """A large group that has sets of several components -> pairs of different ones that may link, at most `most` of any two components. `tested` pairs aren't tried again."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["root", "set"], kind="stable").reset_index(drop=True)
         tested = {(int(a), int(b)) for row, a in zip(group["tested"], group["set"], strict=True) for b in row}
-        out, parent = [], {r: r for r in group["root"]}
-
-        def top(r):
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
-        for low, high in [(x, y) for x in sorted(group["band"].unique()) for y in (x, x + 1)]:
+        number = {r: i for i, r in enumerate(sorted(group["root"].unique()))}
+        group = group.assign(root=group["root"].map(number))
+        out, tried = [], {}
+        for low in sorted(group["band"].unique()):
             x = group[group["band"] == low]
-            y = group[group["band"] == high]
-            if not len(x) or not len(y):
-                continue
-            ys = np.stack([np.frombuffer(v, np.uint64) for v in (y["own"] if high == low else y["low"])])
-            yr, yn = y["root"].to_numpy(), y["n"].to_numpy()
-            for root, n, own, set_ in zip(x["root"], x["n"], x["own"], x["set"], strict=True):
-                at = np.flatnonzero((yr != root) & (np.maximum(yn, n) * p.num <= np.minimum(yn, n) * p.den))
-                for piece in range(0, len(at), 4096):
-                    part = at[piece : piece + 4096]
-                    for j in part[hamming(ys[part], np.frombuffer(own, np.uint64)) <= apart(int(low), p)]:
-                        pair = (min(int(set_), int(y["set"].iloc[j])), max(int(set_), int(y["set"].iloc[j])))
-                        if pair not in tested and top(root) != top(yr[j]):
-                            parent[top(root)] = top(yr[j])
-                            out.append(pair)
+            for high in (low, low + 1):
+                y = group[group["band"] == high]
+                if not len(x) or not len(y):
+                    continue
+                ys = np.stack([np.frombuffer(v, np.uint64) for v in (y["own"] if high == low else y["low"])])
+                yr, yn, yset = (y[c].to_numpy() for c in ("root", "n", "set"))
+                for root, n, own, set_ in zip(x["root"], x["n"], x["own"], x["set"], strict=True):
+                    # Sets of one band meet once, from the smaller number.
+                    at = np.flatnonzero((yr != root) & (np.maximum(yn, n) * p.num <= np.minimum(yn, n) * p.den) & ((yset > set_) | (high != low)))
+                    for piece in range(0, len(at), 4096):
+                        part = at[piece : piece + 4096]
+                        for j in part[hamming(ys[part], np.frombuffer(own, np.uint64)) <= apart(int(low), p)].tolist():
+                            pair = (min(int(set_), int(yset[j])), max(int(set_), int(yset[j])))
+                            both = (min(root, yr[j]), max(root, yr[j]))
+                            if pair not in tested and tried.get(both, 0) < most:
+                                tried[both] = tried.get(both, 0) + 1
+                                out.append(pair)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -281,7 +279,7 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_of(column).alias("text"))
-    hashes = word_hashes(ascii_lower(F.col("text"))).alias("w")
+    hashes = hash_words(lower_words(F.col("text"))).alias("w")
     table = cut(rows.select("uid", "doc_id", hashes).mapInArrow(_describe(p), "uid long, doc_id long, n long, set long, band int, own binary, low binary"), "join-sets")
     # About a third of a text's shingles become keys.
     total = table.agg(F.sum("n")).first()[0] or 0
@@ -323,27 +321,37 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
     best = candidates.groupBy("b").agg(F.max_by("a", F.col("n")).alias("a")).select("a", "b")
     tested = verify(best)
     roots = cut(connected_components(tested.where("linked")), "join-roots")
+    def joined_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """The components once these links are added: only their ends' roots take part."""
+        moved = connected_components(with_roots(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        moved = cut(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "join-moved")
+        old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return cut(old.union(moved.select(F.col("root").alias("node"), F.col("to").alias("root")).join(roots, "node", "left_anti")), "join-roots")
+
     others = with_roots(candidates.select("a", "b"), roots).where("ra <> rb").join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
     others = cut(others, "join-others")
     if not others.isEmpty():
-        tested = cut(tested.union(verify(others)), "join-tested")
-        roots = cut(connected_components(tested.where("linked")), "join-roots")
+        new = verify(others)
+        tested = cut(tested.union(new), "join-tested")
+        roots = joined_by(roots, new.where("linked").select("a", "b"))
     groups = cut(met.select("key", "size", "members").where(F.length("key") > 0).mapInArrow(_open_groups, "key long, set long"), "join-groups")
-    while not groups.isEmpty():
+    most = 8
+    while True:
         known = groups.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         split = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-        groups = cut(known.join(split, "key"), "join-groups")
-        if groups.isEmpty():
+        known = cut(known.join(split, "key"), "join-groups")
+        if known.isEmpty():
             break
         # A set's failed tries go with it. Only sets of groups that aren't one component are here.
         failed = tested.where("not linked").select(F.col("a").alias("set"), "b").groupBy("set").agg(F.collect_set("b").alias("tested"))
-        members = groups.join(sets.select("set", "n", "band", "own", "low"), "set").join(failed, "set", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<long>")))
-        more = cut(members.groupBy("key").applyInPandas(_stray(p), "a long, b long").distinct(), "join-stray")
+        members = known.join(sets.select("set", "n", "band", "own", "low"), "set").join(failed, "set", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<long>")))
+        more = cut(members.groupBy("key").applyInPandas(_stray(p, most), "a long, b long").distinct(), "join-stray")
         if more.isEmpty():
             break
-        tested = cut(tested.union(verify(more)), "join-tested")
-        roots = cut(connected_components(tested.where("linked")), "join-roots")
-        groups = groups.select("key", "set")
+        new = verify(more)
+        tested = cut(tested.union(new), "join-tested")
+        roots = joined_by(roots, new.where("linked").select("a", "b"))
+        groups, most = known.select("key", "set"), most * 16
     linked = table.where("n > 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), "set")
     linked = linked.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
