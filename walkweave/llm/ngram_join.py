@@ -52,6 +52,11 @@ def apart(band: int, p: Params) -> int:
     return (p.den - p.num) * (a + a * p.den // p.num) // (p.den + p.num)
 
 
+def most_apart(m, n, p: Params):
+    """The same for two sets of these very sizes."""
+    return (p.den - p.num) * (m + n) // (p.den + p.num)
+
+
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the distinct n-grams, ascending; of fewer words, the whole sequence as one."""
     m = min(n, len(words))
@@ -84,13 +89,15 @@ def blocks(s: np.ndarray, band: int, p: Params) -> np.ndarray:
 
 
 def sketch(s: np.ndarray, band: int, p: Params) -> bytes:
-    """Plain parity bits for the Hamming distance, eight for each shingle that may differ."""
-    words = (8 * apart(band, p) + 127) // 64
-    h = mix(s ^ odd(300))
-    bit = ((h >> np.uint64(32)) * np.uint64(words * 64)) >> np.uint64(32)
-    out = np.zeros(words, np.uint64)
-    np.bitwise_xor.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out.tobytes()
+    """Plain parity bits for the Hamming distance: a power of two, at least sixteen for each shingle that may differ. A longer sketch folds into a shorter one of the same set."""
+    bits = max(64, 1 << (16 * apart(band, p) - 1).bit_length())
+    bit = mix(s ^ odd(300)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(bit.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one to a row, brought to so many words: the XOR of their parts."""
+    return np.bitwise_xor.reduce(x.reshape(*x.shape[:-1], -1, words), axis=-2)
 
 
 def _sets(batch: pa.RecordBatch, column: int, p: Params):
@@ -105,20 +112,19 @@ def set_id(s: np.ndarray) -> np.uint64:
 
 
 def _describe(p: Params):
-    """uid, doc_id, words -> uid, doc_id, n, set, band, own, low (sketches in the cuts of its band and of the one below)."""
+    """uid, doc_id, words -> uid, doc_id, n, set, band, bits (the sketch)."""
 
     def run(batches):
         for batch in batches:
-            n, ids, bands, own, low = [], [], [], [], []
+            n, ids, bands, bits = [], [], [], []
             for s in _sets(batch, 2, p):
                 band = int(np.searchsorted(edges(p.num, p.den), len(s), "right")) - 1
                 n.append(len(s))
                 ids.append(set_id(s))
                 bands.append(band)
-                own.append(sketch(s, band, p) if len(s) else None)
-                low.append(sketch(s, band - 1, p) if band > 0 else None)
+                bits.append(sketch(s, band, p) if len(s) else None)
             as_ids = pa.array(np.array(ids, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), as_ids, pa.array(bands, pa.int32()), pa.array(own, pa.binary()), pa.array(low, pa.binary())], ["uid", "doc_id", "n", "set", "band", "own", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), as_ids, pa.array(bands, pa.int32()), pa.array(bits, pa.binary())], ["uid", "doc_id", "n", "set", "band", "bits"])
 
     return run
 
@@ -137,7 +143,7 @@ def _send(p: Params, owners: int):
                 own = np.concatenate([blocks(s, b, p) for b in (band, band - 1) if b >= 0])
                 keys.append(own)
                 ids.append(np.full(len(own), i, np.uint64))
-            if not keys:
+            if not sum(map(len, keys)):
                 continue
             keys, ids = np.concatenate(keys), np.concatenate(ids)
             owner = ((keys >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
@@ -217,8 +223,8 @@ def _near(p: Params):
                     x, y = y, x
                 if y["band"] - x["band"] > 1:
                     continue
-                other = y["own"] if y["band"] == x["band"] else y["low"]
-                keep[i] = max(x["n"], y["n"]) * p.num <= min(x["n"], y["n"]) * p.den and hamming(np.frombuffer(x["own"], np.uint64), np.frombuffer(other, np.uint64)) <= apart(x["band"], p)
+                x_bits, y_bits = np.frombuffer(x["bits"], np.uint64), np.frombuffer(y["bits"], np.uint64)
+                keep[i] = max(x["n"], y["n"]) * p.num <= min(x["n"], y["n"]) * p.den and hamming(x_bits, fold(y_bits, len(x_bits))) <= most_apart(x["n"], y["n"], p)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2)], ["a", "b", "n"]).filter(pa.array(keep))
 
     return run
@@ -238,33 +244,49 @@ def _verify(p: Params):
     return run
 
 
-def _stray(p: Params, most: int):
-    """A large group that has sets of several components -> pairs of different ones that may link, at most `most` of any two components. `tested` pairs aren't tried again."""
+def _stray(p: Params, tries: int):
+    """A large group that has sets of several components -> pairs of different ones that may link: those of a forest over the components, the likeliest first, and others until each of
+    their sets has had `tries`. `tested` pairs aren't tried again."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        tested = {(int(a), int(b)) for row, a in zip(group["tested"], group["set"], strict=True) for b in row}
-        number = {r: i for i, r in enumerate(sorted(group["root"].unique()))}
-        group = group.assign(root=group["root"].map(number))
-        out, tried = [], {}
+        group = group.reset_index(drop=True)
+        sets, roots = group["set"].to_numpy(), group["root"].to_numpy()
+        tested = {(int(a), int(b)) for row, a in zip(group["tested"], sets, strict=True) for b in row}
+        near = []
         for low in sorted(group["band"].unique()):
-            x = group[group["band"] == low]
+            x = np.flatnonzero(group["band"] == low)
+            width = len(group["bits"][x[0]]) // 8
+            bits = np.stack([np.frombuffer(v, np.uint64) for v in group["bits"][x]])
             for high in (low, low + 1):
-                y = group[group["band"] == high]
-                if not len(x) or not len(y):
+                y = np.flatnonzero(group["band"] == high)
+                if not len(y):
                     continue
-                ys = np.stack([np.frombuffer(v, np.uint64) for v in (y["own"] if high == low else y["low"])])
-                yr, yn, yset = (y[c].to_numpy() for c in ("root", "n", "set"))
-                for root, n, own, set_ in zip(x["root"], x["n"], x["own"], x["set"], strict=True):
-                    # Sets of one band meet once, from the smaller number.
-                    at = np.flatnonzero((yr != root) & (np.maximum(yn, n) * p.num <= np.minimum(yn, n) * p.den) & ((yset > set_) | (high != low)))
+                other = bits if high == low else fold(np.stack([np.frombuffer(v, np.uint64) for v in group["bits"][y]]), width)
+                n = group["n"].to_numpy()[y]
+                for i, own in zip(x, bits, strict=True):
+                    m = int(group["n"][i])
+                    at = np.flatnonzero((roots[y] != roots[i]) & (np.maximum(m, n) * p.num <= np.minimum(m, n) * p.den) & ((y > i) | (high != low)))
                     for piece in range(0, len(at), 4096):
                         part = at[piece : piece + 4096]
-                        for j in part[hamming(ys[part], np.frombuffer(own, np.uint64)) <= apart(int(low), p)].tolist():
-                            pair = (min(int(set_), int(yset[j])), max(int(set_), int(yset[j])))
-                            both = (min(root, yr[j]), max(root, yr[j]))
-                            if pair not in tested and tried.get(both, 0) < most:
-                                tried[both] = tried.get(both, 0) + 1
-                                out.append(pair)
+                        left = most_apart(m, n[part], p) - hamming(other[part], own)
+                        near += [(-int(k), int(i), int(y[j])) for k, j in zip(left[left >= 0], part[left >= 0], strict=True)]
+        out, parent, tried = [], {}, [0] * len(group)
+
+        def top(r):
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
+        for _, i, j in sorted(near):
+            pair = (min(int(sets[i]), int(sets[j])), max(int(sets[i]), int(sets[j])))
+            if pair in tested:
+                continue
+            a, b = top(roots[i]), top(roots[j])
+            if a != b or min(tried[i], tried[j]) < tries:
+                parent[max(a, b)] = min(a, b)
+                tried[i] += 1
+                tried[j] += 1
+                out.append(pair)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -280,7 +302,7 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
     bounded_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_of(column).alias("text"))
     hashes = hash_words(lower_words(F.col("text"))).alias("w")
-    table = cut(rows.select("uid", "doc_id", hashes).mapInArrow(_describe(p), "uid long, doc_id long, n long, set long, band int, own binary, low binary"), "join-sets")
+    table = cut(rows.select("uid", "doc_id", hashes).mapInArrow(_describe(p), "uid long, doc_id long, n long, set long, band int, bits binary"), "join-sets")
     # About a third of a text's shingles become keys.
     total = table.agg(F.sum("n")).first()[0] or 0
     owners = 4 * parts_for(spark, total // 3, 2_000_000)
@@ -288,9 +310,9 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
     met = cut(sent.groupBy("owner").applyInPandas(_meet, "a binary, b binary, n binary, key binary, size binary, members binary"), "join-met")
     pairs = met.select("a", "b", "n").mapInArrow(_open_pairs, "a long, b long, n int").groupBy("a", "b").agg(F.sum("n").alias("n"))
     first = lambda c: F.min(c).alias(c)
-    sets = table.where("n > 0").groupBy("set").agg(F.min("uid").alias("uid"), first("n"), first("band"), F.first("own").alias("own"), F.first("low").alias("low"))
+    sets = table.where("n > 0").groupBy("set").agg(F.min("uid").alias("uid"), first("n"), first("band"), F.first("bits").alias("bits"))
     sets = cut(sets, "join-distinct")
-    side = lambda end, name: sets.select(F.col("set").alias(end), F.struct("n", "band", "own", "low").alias(name))
+    side = lambda end, name: sets.select(F.col("set").alias(end), F.struct("n", "band", "bits").alias(name))
     near = lambda some: some.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "n", "x", "y").mapInArrow(_near(p), "a long, b long, n long")
     candidates = cut(near(pairs), "join-candidates")
 
@@ -335,7 +357,7 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
         tested = cut(tested.union(new), "join-tested")
         roots = joined_by(roots, new.where("linked").select("a", "b"))
     groups = cut(met.select("key", "size", "members").where(F.length("key") > 0).mapInArrow(_open_groups, "key long, set long"), "join-groups")
-    most = 8
+    tries = 0
     while True:
         known = groups.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         split = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
@@ -344,14 +366,14 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
             break
         # A set's failed tries go with it. Only sets of groups that aren't one component are here.
         failed = tested.where("not linked").select(F.col("a").alias("set"), "b").groupBy("set").agg(F.collect_set("b").alias("tested"))
-        members = known.join(sets.select("set", "n", "band", "own", "low"), "set").join(failed, "set", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<long>")))
-        more = cut(members.groupBy("key").applyInPandas(_stray(p, most), "a long, b long").distinct(), "join-stray")
+        members = known.join(sets.select("set", "n", "band", "bits"), "set").join(failed, "set", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<long>")))
+        more = cut(members.groupBy("key").applyInPandas(_stray(p, tries), "a long, b long").distinct(), "join-stray")
         if more.isEmpty():
             break
         new = verify(more)
         tested = cut(tested.union(new), "join-tested")
         roots = joined_by(roots, new.where("linked").select("a", "b"))
-        groups, most = known.select("key", "set"), most * 16
+        groups, tries = known.select("key", "set"), max(4, tries * 16)
     linked = table.where("n > 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), "set")
     linked = linked.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
