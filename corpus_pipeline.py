@@ -19,12 +19,12 @@ WEIGHTS, COPIES = [5, 2, 1], 3
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. It learns from the labelled rows of `docs` outside the held-out fold."""
     model = quality.fit(docs, documents(spark, sf_dir, "labels"), lambda doc_id: fold(doc_id, 5) != 0)
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= GOOD).select(docs.columns)
+    return quality.score(docs, model, docs.columns, name="__chance").where(F.col("__chance") >= GOOD).select(docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return exact_dedup.duplicates(docs, docs.columns).where("kept").select(docs.columns)
+    return exact_dedup.duplicates(docs, docs.columns, prefix="__").where("__kept").select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +34,16 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     stays = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("uid").alias("uid"))
     # Rows without an id form no group that could be named by one: they stay, but for copies, which are gone.
     nameless = found.where("doc_id is null and component_id is null").select(F.col("component_id"), "uid")
-    stays = cut(stays.union(nameless).select("uid"), "pipeline-stays")
-    return docs.withColumn("uid", F.monotonically_increasing_id()).join(stays, "uid", "left_semi").select(docs.columns)
+    stays = cut(stays.union(nameless).select(F.col("uid").alias("__uid")), "pipeline-stays")
+    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(stays, "__uid", "left_semi").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     sized = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    taken = mixing.draw(sized, WEIGHTS, COPIES, 11).where("copies > 0").select("uid", "copies")
-    rows = docs.withColumn("uid", F.monotonically_increasing_id()).join(taken, "uid")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    taken = mixing.draw(sized, WEIGHTS, COPIES, 11).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
+    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(taken, "__uid")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

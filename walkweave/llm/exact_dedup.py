@@ -102,12 +102,12 @@ def _by_row(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"task": [group.task.iloc[0]], "bits": [np.packbits(flags, bitorder="little").view(np.int64)]})
 
 
-def duplicates(docs: DataFrame, keep: list[str] | None = None, column: str = "text", digest: Column | None = None, send_rows: int = 1 << 28) -> DataFrame:
+def duplicates(docs: DataFrame, keep: list[str] | None = None, column: str = "text", digest: Column | None = None, send_rows: int = 1 << 28, prefix: str = "") -> DataFrame:
     """One row per input row: the columns of `keep` (doc_id), keep_id (largest doc_id of the rows with the same text), group_size, kept, text_sha256.
 
     Null counts as the empty text, and empty texts are copies of each other. Exactly one row of a group is kept: the one with the largest doc_id, a null id being
     the smallest; among rows of the same id, any. An empty table gives no rows. digest: groups suspects before their bytes are compared; SHA-256 unless given.
-    send_rows: up to so many rows the bitmaps (a bit per row: 32 MB) are sent to all tasks; beyond, suspects join by row number."""
+    prefix: goes before the names of the four new columns. send_rows: up to so many rows the bitmaps (a bit per row: 32 MB) are sent to all tasks; beyond, suspects join by row number."""
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
     count = docs.count()
@@ -124,7 +124,7 @@ def duplicates(docs: DataFrame, keep: list[str] | None = None, column: str = "te
     flags = messages.select("task", "owner", "n", "at", "rows").join(answers, ["task", "owner"]).groupBy("task").applyInPandas(_by_row, "task long, bits array<long>")
     flags = cut(flags, "dedup-flags")
 
-    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col("doc_id").alias("own_id"), text.alias("text"), digest.alias("digest"), uid.alias("uid"))
+    rows = docs.select(*[F.col(c).alias(f"in_{c}") for c in keep], F.col("doc_id").alias("own_id"), text.alias("text"), digest.alias("digest"), uid.alias("uid"))
     bit = F.getbit(F.element_at("bits", (row / 64).cast("int") + 1), (row % 64).cast("int")) == 1
     if count <= send_rows:
         flagged = rows.withColumn("task", task).join(F.broadcast(flags), "task").withColumn("suspect", bit)
@@ -134,7 +134,7 @@ def duplicates(docs: DataFrame, keep: list[str] | None = None, column: str = "te
         numbers = numbers.select((F.shiftleft("task", ROW_BITS) + F.col("first") + F.col("b")).alias("uid"), F.lit(True).alias("set"))
         flagged = rows.join(numbers, "uid", "left").withColumn("suspect", F.coalesce("set", F.lit(False)))
     sha = F.sha2("text", 256).alias("text_sha256")
-    seen = cut(flagged.select(*[f"keep_{c}" for c in keep], "own_id", "uid", "digest", "suspect", sha), "dedup-rows")
+    seen = cut(flagged.select(*[f"in_{c}" for c in keep], "own_id", "uid", "digest", "suspect", sha), "dedup-rows")
     if seen.count() != count:
         raise RuntimeError("the rows changed between two reads; write the table before looking for duplicates in it")
     # Here bytes are compared: the text itself is a key. Each task sends a text once, however many copies it has read.
@@ -148,4 +148,4 @@ def duplicates(docs: DataFrame, keep: list[str] | None = None, column: str = "te
         suspects = suspects.join(again.join(groups, ["digest", "text"]).select("uid", "keep_id", "keep_uid", "group_size"), "uid")
     single = seen.where("not suspect").drop("suspect").withColumns({"keep_id": F.col("own_id"), "keep_uid": F.col("uid"), "group_size": F.lit(1).cast("long")})
     out = suspects.select(*single.columns).union(single)
-    return out.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
+    return out.select(*[F.col(f"in_{c}").alias(c) for c in keep], F.col("keep_id").alias(f"{prefix}keep_id"), F.col("group_size").alias(f"{prefix}group_size"), (F.col("uid") == F.col("keep_uid")).alias(f"{prefix}kept"), F.col("text_sha256").alias(f"{prefix}text_sha256"))

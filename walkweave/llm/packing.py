@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from .common import bounded_batches, text_of
 
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     fields = [*rows.schema.fields[: len(keep)], *PIECES.fields]
     schema = StructType(fields)
     if with_ids:
-        schema = StructType(fields).add("ids", "array<int>")
+        schema = StructType(fields).add("ids", ArrayType(IntegerType()))
 
     def run(batches):
         encode = encoder(tokenizer, ranks)

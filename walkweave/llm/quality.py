@@ -174,13 +174,13 @@ def _descend(bucket, count, offsets, y, rows, p: Params) -> Model:
     return Model(margin.astype(np.float32), float(bias[1] - bias[0] + math.log(share / (1 - share))), p.lengths, p.chunk)
 
 
-def score(docs: DataFrame, model: Model, extra: list[str] | None = None, column: str = "text") -> DataFrame:
-    """One row per input row: the columns of `extra` and score, the chance of label 1. Null counts as empty; an empty text has the share of label 1 that the bias stands for.
+def score(docs: DataFrame, model: Model, extra: list[str] | None = None, column: str = "text", name: str = "score") -> DataFrame:
+    """One row per input row: the columns of `extra` and `name`, the chance of label 1. Null counts as empty; an empty text has the share of label 1 that the bias stands for.
     Rows are independent: ties and repeats each get their row."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # Params.buckets numbers
     rows = docs.select(*(extra or []), text_of(column).alias("__text"))
-    schema = rows.drop("__text").schema.add("score", "double")
+    schema = rows.drop("__text").schema.add(name, "double")
 
     def run(batches):
         m = shared.value
