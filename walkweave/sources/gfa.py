@@ -30,7 +30,7 @@ def read_gfa(spark: SparkSession, path: str | list[str], ref_name: str = "GRCh38
     """segments, links and walks. Other records, tags, overlaps and a walk's contig and range are ignored."""
     lines = _lines(spark, path, graph_id)
     f = lambda i: F.get("f", F.lit(i))
-    segments = lines.where("kind = 'S'").select("graph_id", f(1).alias("seg_id"), f(2).alias("seq"))
+    segments = lines.where("kind = 'S'").select("graph_id", f(1).alias("seg_id"), F.coalesce(f(2), F.lit("")).alias("seq"))
     links = _numbered(lines.where("kind = 'L'"), "idx").select("graph_id", "idx", F.concat(f(1), F.lit("_"), f(2)).alias("u"), F.concat(f(3), F.lit("_"), f(4)).alias("v"))
     walks = _numbered(lines.where("kind = 'W'"), "walk_idx").select("graph_id", "walk_idx", f(1).alias("sample"), f(2).alias("hap"), (f(1) == ref_name).alias("is_ref"), tokenize_walk(f(6)).alias("steps"))
     return {"segments": segments.to(SEGMENTS), "links": links.to(LINKS), "walks": walks.to(WALKS)}
