@@ -27,6 +27,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.duplicates(docs, docs.columns, prefix="__").where("__kept").select(docs.columns)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """A table of row numbers, sent to all tasks while it has two million rows at most; a larger one is joined."""
+    return F.broadcast(ids) if ids.count() <= 2_000_000 else ids
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts one row with the smallest doc_id stays."""
     found = ngram_join.classes(docs, NEAR)
@@ -35,13 +40,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     # Rows without an id form no group that could be named by one: they stay, but for copies, which are gone.
     nameless = found.where("doc_id is null and component_id is null").select(F.col("component_id"), "uid")
     stays = cut(stays.union(nameless).select(F.col("uid").alias("__uid")), "pipeline-stays")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(stays, "__uid", "left_semi").select(docs.columns)
+    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(small(stays), "__uid", "left_semi").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     sized = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     taken = mixing.draw(sized, WEIGHTS, COPIES, 11).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
+    taken = small(cut(taken, "pipeline-taken"))
     rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(taken, "__uid")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
