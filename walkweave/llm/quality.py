@@ -48,7 +48,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def buckets_of(texts: list[str], lengths: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of all texts, and the text that each belongs to. Features: every word, and every n-gram of a word between its two marks."""
+    """Buckets of all features of all texts, and the text that each belongs to. Features: every word, every n-gram of a word between its two marks, and one that all words share that repeat the word before."""
     code = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = (code < 33) & SPACE[np.minimum(code, 255)]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -86,6 +86,9 @@ def buckets_of(texts: list[str], lengths: tuple[int, ...], buckets: int) -> tupl
         h = (total[ends] - total[starts]) * back[starts]
         found.append((mix(h + odd(1)) & mask).astype(np.int32))
         owner.append(doc[starts])
+        again = doc[starts[1:]][(h[1:] == h[:-1]) & (doc[starts[1:]] == doc[starts[:-1]])]
+        found.append(np.full(len(again), int(odd(2) & mask), np.int32))
+        owner.append(again)
     return (np.concatenate(found), np.concatenate(owner)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
