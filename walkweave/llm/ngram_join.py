@@ -246,12 +246,12 @@ def _verify(p: Params):
 
 def _stray(p: Params, tries: int):
     """A large group that has sets of several components -> pairs of different ones that may link: those of a forest over the components, the likeliest first, and others until each of
-    their sets has had `tries`. `tested` pairs aren't tried again."""
+    their sets has had `tries`. `tested` pairs aren't tried again. A row with left (0, 0, true) tells that the group has more to try."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
+        group, left_over = group.reset_index(drop=True), False
         sets, roots = group["set"].to_numpy(), group["root"].to_numpy()
-        tested = {(int(a), int(b)) for row, a in zip(group["tested"], sets, strict=True) for b in row}
+        tested = [np.array(row, np.int64) for row in group["tested"]]
         near = []
         for low in sorted(group["band"].unique()):
             x = np.flatnonzero(group["band"] == low)
@@ -266,10 +266,14 @@ def _stray(p: Params, tries: int):
                 for i, own in zip(x, bits, strict=True):
                     m = int(group["n"][i])
                     at = np.flatnonzero((roots[y] != roots[i]) & (np.maximum(m, n) * p.num <= np.minimum(m, n) * p.den) & ((y > i) | (high != low)))
-                    for piece in range(0, len(at), 4096):
-                        part = at[piece : piece + 4096]
-                        left = most_apart(m, n[part], p) - hamming(other[part], own)
-                        near += [(-int(k), int(i), int(y[j])) for k, j in zip(left[left >= 0], part[left >= 0], strict=True)]
+                    if len(tested[i]):
+                        at = at[~np.isin(sets[y[at]], tested[i])]
+                    left = np.concatenate([np.zeros(0, np.int64), *(most_apart(m, n[part], p) - hamming(other[part], own) for part in np.split(at, range(4096, len(at), 4096)))])
+                    at, left = at[left >= 0], left[left >= 0]
+                    # A set's likeliest few: all would be too many to hold. What isn't tried now is in the next round.
+                    best = np.argsort(-left, kind="stable")[: max(2, tries)]
+                    left_over |= len(best) < len(at)
+                    near += [(-int(k), int(i), int(y[j])) for k, j in zip(left[best], at[best], strict=True)]
         out, parent, tried = [], {}, [0] * len(group)
 
         def top(r):
@@ -279,15 +283,17 @@ def _stray(p: Params, tries: int):
 
         for _, i, j in sorted(near):
             pair = (min(int(sets[i]), int(sets[j])), max(int(sets[i]), int(sets[j])))
-            if pair in tested:
-                continue
             a, b = top(roots[i]), top(roots[j])
             if a != b or min(tried[i], tried[j]) < tries:
                 parent[max(a, b)] = min(a, b)
                 tried[i] += 1
                 tried[j] += 1
-                out.append(pair)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                out.append((*pair, False))
+            else:
+                left_over = True
+        if left_over:
+            out.append((0, 0, True))
+        return pd.DataFrame(out, columns=["a", "b", "left"]).astype({"a": "int64", "b": "int64", "left": bool})
 
     return run
 
@@ -309,8 +315,12 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
     sent = rows.select(hashes).mapInArrow(_send(p, owners), "owner int, keys binary, sets binary")
     met = cut(sent.groupBy("owner").applyInPandas(_meet, "a binary, b binary, n binary, key binary, size binary, members binary"), "join-met")
     pairs = met.select("a", "b", "n").mapInArrow(_open_pairs, "a long, b long, n int").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = cut(pairs, "join-pairs")
     first = lambda c: F.min(c).alias(c)
-    sets = table.where("n > 0").groupBy("set").agg(F.min("uid").alias("uid"), first("n"), first("band"), F.first("bits").alias("bits"))
+    # Only sets that share a key with another are looked at again.
+    involved = cut(pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct(), "join-involved")
+    some = table.where("n > 0").join(F.broadcast(involved) if involved.count() <= send_ids else involved, "set", "left_semi")
+    sets = some.groupBy("set").agg(F.min("uid").alias("uid"), first("n"), first("band"), F.first("bits").alias("bits"))
     sets = cut(sets, "join-distinct")
     side = lambda end, name: sets.select(F.col("set").alias(end), F.struct("n", "band", "bits").alias(name))
     near = lambda some: some.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "n", "x", "y").mapInArrow(_near(p), "a long, b long, n long")
@@ -357,23 +367,31 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
         tested = cut(tested.union(new), "join-tested")
         roots = joined_by(roots, new.where("linked").select("a", "b"))
     groups = cut(met.select("key", "size", "members").where(F.length("key") > 0).mapInArrow(_open_groups, "key long, set long"), "join-groups")
-    tries = 0
+    tries, known = 8, None
     while True:
-        known = groups.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        split = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-        known = cut(known.join(split, "key"), "join-groups")
-        if known.isEmpty():
-            break
+        if known is None:
+            known = groups.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+            split = known.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+            known = cut(known.join(split, "key"), "join-groups")
+            if known.isEmpty():
+                break
         # A set's failed tries go with it. Only sets of groups that aren't one component are here.
-        failed = tested.where("not linked").select(F.col("a").alias("set"), "b").groupBy("set").agg(F.collect_set("b").alias("tested"))
+        failed = tested.where("not linked").select("a", "b")
+        failed = failed.union(failed.select("b", "a")).groupBy(F.col("a").alias("set")).agg(F.collect_set("b").alias("tested"))
         members = known.join(sets.select("set", "n", "band", "bits"), "set").join(failed, "set", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<long>")))
-        more = cut(members.groupBy("key").applyInPandas(_stray(p, tries), "a long, b long").distinct(), "join-stray")
-        if more.isEmpty():
+        more = cut(members.groupBy("key").applyInPandas(_stray(p, tries), "a long, b long, left boolean").distinct(), "join-stray")
+        pairs, done = more.where("not left").select("a", "b"), more.where("left").isEmpty()
+        if pairs.isEmpty():
             break
-        new = verify(more)
+        new = verify(pairs)
         tested = cut(tested.union(new), "join-tested")
-        roots = joined_by(roots, new.where("linked").select("a", "b"))
-        groups, tries = known.select("key", "set"), max(4, tries * 16)
+        links = new.where("linked").select("a", "b")
+        if not links.isEmpty():
+            roots = joined_by(roots, links)
+            groups, known = known.select("key", "set"), None
+        if done:
+            break
+        tries *= 4
     linked = table.where("n > 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), "set")
     linked = linked.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
