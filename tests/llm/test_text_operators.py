@@ -274,6 +274,19 @@ def test_language_model_counts_and_probabilities(docs, empty):
     assert recurrent_lm.score(docs, none, F.lit(False)).count() == docs.count()
 
 
+def test_network_learns_from_documents_outside_the_first_sample(spark):
+    """The sampled document has no order of words; all others have the same one."""
+    ids = spark.range(300).select(F.col("id").alias("doc_id"))
+    first = ids.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    rng, cycle = random.Random(1), [f"w{i}" for i in range(8)]
+    texts = [(i, " ".join(rng.choices(cycle, k=80) if i == first else cycle * 10)) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    p = recurrent_lm.Params(vocabulary=16, per_class=4, hidden=8, window=8, lanes=4, sample=1, epochs=1, rate=4e-2)
+    out = recurrent_lm.score(df, recurrent_lm.fit(df, everything, p), F.lit(False)).where(F.col("doc_id") != first)
+    mean = out.agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert mean > -0.5  # by frequencies alone it is -0.9
+
+
 def test_network_is_a_distribution_and_its_gradient_is_right():
     p = recurrent_lm.Params(vocabulary=10, per_class=4, hidden=5, window=6, lanes=2)
     net = recurrent_lm.new_network(np.arange(10.0), p)

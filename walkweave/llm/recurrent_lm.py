@@ -7,6 +7,7 @@ are sent to all tasks, the long tail stays a table and is joined. The state is c
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 from dataclasses import dataclass
@@ -25,8 +26,8 @@ OTHER, END = 0, 1  # the network's symbols for words that it doesn't have and fo
 
 @dataclass(frozen=True)
 class Params:
-    """vocabulary: the network's symbols. per_class: symbols of an output class. hidden: units. sample: most training documents of the network (picked by a hash of
-    their ids; the counts cover all). head: most words whose counts are sent to all tasks. window: steps of truncated backpropagation. lanes: texts trained side by side."""
+    """vocabulary: the network's symbols. per_class: symbols of an output class. hidden: units. sample: most training documents by which the network begins (picked by a hash
+    of their ids; then it learns from all, as the counts do). head: most words whose counts are sent to all tasks. window: steps of truncated backpropagation. lanes: texts trained side by side."""
 
     vocabulary: int = 2048
     per_class: int = 32
@@ -87,6 +88,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def _by_class(cls: np.ndarray):
     """(class, places of its targets)."""
     order = np.argsort(cls, kind="stable")
@@ -144,62 +153,96 @@ def log_likelihood(net: Network, ids: np.ndarray, offsets: np.ndarray, window: i
     return out
 
 
-def train(net: Network, ids: np.ndarray, offsets: np.ndarray, p: Params) -> Network:
+class Learner:
     """Adam over windows of p.window steps; the state goes on from window to window, its gradient doesn't."""
-    parts = net.parts()
-    first, second = [np.zeros_like(x) for x in parts], [np.zeros_like(x) for x in parts]
-    n, k, done = p.hidden, p.per_class, 0
-    inputs, targets, owner, begins = lanes_of(ids, offsets, max(1, min(p.lanes, len(offsets) - 1)))
-    total = p.epochs * -(-len(inputs) // p.window)
-    for _ in range(p.epochs):
-        h = np.zeros((inputs.shape[1], n), np.float32)
-        for a in range(0, len(inputs), p.window):
-            b = min(a + p.window, len(inputs))
-            trace, kept = [], np.empty((b - a, *h.shape), np.float32)
-            for t in range(a, b):
-                h = np.where(begins[t][:, None], np.float32(0), h)
-                before = h
-                h, z, r, c, u = _step(net, h, inputs[t])
-                trace.append((before, z, r, c, u))
-                kept[t - a] = h
-            live = (owner[a:b].ravel() >= 0).astype(np.float32)
-            seen, target = kept.reshape(-1, n), targets[a:b].ravel()
-            scale = live / max(live.sum(), 1)
-            cls = target // k
-            q = np.exp(_log_softmax(seen @ net.classes.T + net.class_bias))
-            q[np.arange(len(cls)), cls] -= 1
-            q *= scale[:, None]
-            grads = [np.zeros_like(x) for x in parts]
-            grads[3], grads[4] = q.T @ seen, q.sum(0)
-            back = q @ net.classes
-            for c, at in _by_class(cls):
-                q = np.exp(_log_softmax(seen[at] @ net.words[c].T + net.word_bias[c]))
-                q[np.arange(len(at)), target[at] % k] -= 1
-                q *= scale[at][:, None]
-                grads[5][c], grads[6][c] = q.T @ seen[at], q.sum(0)
-                back[at] += q @ net.words[c]
-            back = back.reshape(b - a, -1, n)
-            dh = np.zeros_like(h)
-            for t in range(b - 1, a - 1, -1):
-                before, z, r, c, u = trace[t - a]
-                dh += back[t - a]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * u * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], 1)
-                du = np.concatenate([dz, dr, dc * r], 1)
-                np.add.at(grads[0], inputs[t], da)
-                grads[1] += before.T @ du
-                grads[2] += da.sum(0)
-                dh = (dh * z + du @ net.state.T) * ~begins[t][:, None]
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
-            done += 1
-            rate = p.rate * min(1.0, done / 20) * (1 - 0.9 * done / total)
-            for x, g, m, v in zip(parts, grads, first, second, strict=True):
+
+    def __init__(self, net: Network, p: Params):
+        self.net, self.p, self.done = net, p, 0
+        self.parts = net.parts()
+        self.rooms: dict = {}
+        self.first, self.second = [np.zeros_like(x) for x in self.parts], [np.zeros_like(x) for x in self.parts]
+
+    def once_over(self, inputs, targets, owner, begins, rate) -> None:
+        """Lanes as of lanes_of. rate: tells the learning rate from the number of the window."""
+        h = np.zeros((inputs.shape[1], self.p.hidden), np.float32)
+        for a in range(0, len(inputs), self.p.window):
+            w = slice(a, min(a + self.p.window, len(inputs)))
+            h, grads = self.gradients(h, inputs[w], targets[w].ravel(), (owner[w].ravel() >= 0).astype(np.float32), begins[w])
+            norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads))
+            self.done += 1
+            step = rate(self.done)
+            for x, g, m, v in zip(self.parts, grads, self.first, self.second, strict=True):
                 g *= min(1.0, 1 / max(norm, 1e-9))
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                x -= rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-7)
+                x -= step * (m / (1 - 0.9**self.done)) / (np.sqrt(v / (1 - 0.99**self.done)) + 1e-7)
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory that all windows of a shape share."""
+        if (name, shape) not in self.rooms:
+            self.rooms = {k: v for k, v in self.rooms.items() if k[0] != name} | {(name, shape): np.empty(shape, np.float32)}
+        return self.rooms[name, shape]
+
+    def gradients(self, h, inputs, target, live, begins):
+        """The state after the window, and the gradients in the order of the network's parts."""
+        net, n, k = self.net, self.p.hidden, self.net.words.shape[1]
+        steps, (lanes, _) = len(inputs), h.shape
+        added = net.inputs[inputs] + net.gate
+        before, c, u, kept = (self.room(x, steps, lanes, n) for x in ("before", "c", "u", "kept"))
+        gates = self.room("gates", steps, lanes, 2 * n)
+        going = (~begins).astype(np.float32)[:, :, None]
+        for t in range(steps):
+            np.multiply(h, going[t], out=before[t])
+            both = before[t] @ net.state
+            u[t] = both[:, 2 * n :]
+            gates[t] = 1 / (1 + np.exp(-(added[t, :, : 2 * n] + both[:, : 2 * n])))
+            np.tanh(added[t, :, 2 * n :] + gates[t, :, n:] * u[t], out=c[t])
+            h = np.add(c[t], gates[t, :, :n] * (before[t] - c[t]), out=kept[t])
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        seen = kept.reshape(-1, n)
+        scale = live / max(live.sum(), 1)
+        cls = target // k
+        q = _softmax(seen @ net.classes.T + net.class_bias)
+        q[np.arange(len(cls)), cls] -= 1
+        q *= scale[:, None]
+        grads = [np.zeros_like(x) for x in self.parts]
+        grads[3], grads[4] = q.T @ seen, q.sum(0)
+        back = q @ net.classes
+        for one, at in _by_class(cls):
+            own = seen[at]
+            q = _softmax(own @ net.words[one].T + net.word_bias[one])
+            q[np.arange(len(at)), target[at] % k] -= 1
+            q *= scale[at][:, None]
+            grads[5][one], grads[6][one] = q.T @ own, q.sum(0)
+            back[at] += q @ net.words[one]
+        back = back.reshape(steps, lanes, n)
+        # What a step's dh is multiplied by, for all steps at once.
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), u * r * (1 - r)
+        da, du, dh = self.room("da", steps, lanes, 3 * n), self.room("du", steps, lanes, 3 * n), np.zeros((lanes, n), np.float32)
+        for t in range(steps - 1, -1, -1):
+            dh += back[t]
+            dc = np.multiply(dh, to_c[t], out=da[t, :, 2 * n :])
+            np.multiply(dh, to_z[t], out=da[t, :, :n])
+            np.multiply(dc, to_r[t], out=da[t, :, n : 2 * n])
+            du[t, :, : 2 * n] = da[t, :, : 2 * n]
+            np.multiply(dc, r[t], out=du[t, :, 2 * n :])
+            dh = (dh * z[t] + du[t] @ net.state.T) * going[t]
+        grads[1] = before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+        da = da.reshape(-1, 3 * n)
+        grads[2] = da.sum(0)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        symbol = inputs.ravel()[order]
+        begin = np.flatnonzero(np.diff(symbol, prepend=-1))
+        grads[0][symbol[begin]] = np.add.reduceat(np.take(da, order, 0, out=self.room("sorted", *da.shape), mode="clip"), begin)
+        return h.copy(), grads
+
+
+def train(net: Network, ids: np.ndarray, offsets: np.ndarray, p: Params) -> Network:
+    lanes = lanes_of(ids, offsets, max(1, min(p.lanes, len(offsets) - 1)))
+    total = p.epochs * -(-len(lanes[0]) // p.window)
+    learner = Learner(net, p)
+    for _ in range(p.epochs):
+        learner.once_over(*lanes, lambda done: p.rate * min(1.0, done / 20) * (1 - 0.9 * done / total))
     return net
 
 
@@ -237,15 +280,68 @@ def fit(docs: DataFrame, learn, p: Params = Params(), column: str = "text") -> M
     unigram = np.concatenate([[rest, ends], count[own]]).astype(float)
     by_hash = np.argsort(word)
     model = Model(new_network(unigram, p), word[by_hash], count[by_hash], symbol[by_hash], words + ends, types + (ends > 0), rest + types - len(own) + 1, ends, counts)
+    # A network that a few documents have taught is where all shards begin; then every training document is learnt from.
     picked = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
     sample = training.join(F.broadcast(picked.distinct()), "doc_id").select("doc_id", hashes.alias("w"))
     found = sample.mapInArrow(_symbols(model), "doc_id long, s array<int>").toArrow().sort_by("doc_id")
     if found.num_rows:
         ids, offsets = lists(found.column("s"))
         train(model.network, ids, offsets, p)
+    if ends:
+        model.network = learn_all(training.select(hashes.alias("w")), model, p)
     return model
 
 
+def learn_all(rows: DataFrame, model: Model, p: Params, chunk: int = 400_000, block: int = 4096) -> Network:
+    """Each task learns from all of its rows (hashed words), beginning with the model's network; the networks are averaged by the tokens that each has seen.
+    The number of shards grows with the input. chunk: tokens that a task holds at once, whole documents. block: numbers of a network in a row of the result."""
+    spark = rows.sparkSession
+    symbols = _symbols(model)
+    shared = spark.sparkContext.broadcast(model.network)
+
+    def shard(batches):
+        net = copy.deepcopy(shared.value)
+        learner, seen = Learner(net, p), 0
+        rate = lambda done: p.rate / 2 * min(1.0, done / 20)
+        for ids, offsets in chunks(symbols(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(0)], ["doc_id", "w"]) for b in batches)):
+            lanes = max(p.lanes, min(len(ids) // (64 * p.window), 256))
+            learner.once_over(*lanes_of(ids, offsets, max(1, min(lanes, len(offsets) - 1))), rate)
+            seen += len(ids)
+        if seen:
+            flat = np.concatenate([x.ravel() for x in net.parts()])
+            cells = [flat[i : i + block].tobytes() for i in range(0, len(flat), block)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int64()), pa.array([seen] * len(cells), pa.int64()), pa.array(cells, pa.binary())], ["block", "seen", "x"])
+
+    def chunks(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch.column(1))
+            size += len(batch.column(1).values)
+            if size >= chunk:
+                yield lists(pa.chunked_array(waiting))
+                waiting, size = [], 0
+        if size:
+            yield lists(pa.chunked_array(waiting))
+
+    def add(batches):
+        """Sums of a task's blocks; only the sums are held."""
+        total = {}
+        for batch in batches:
+            for b, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = n * np.frombuffer(x, np.float32).astype(np.float64)
+                weight, sums = total.get(b, (0, 0.0))
+                total[b] = weight + n, sums + own
+        for b, (n, x) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], ["block", "x"])
+
+    cells = rows.mapInArrow(shard, "block long, seen long, x binary").repartition("block").sortWithinPartitions("block", "seen", "x")
+    found = cells.mapInArrow(add, "block long, x binary").toArrow().sort_by("block")
+    flat = np.concatenate([np.frombuffer(x, np.float32) for x in found.column("x").to_pylist()])
+    parts = model.network.parts()
+    ends = np.cumsum([x.size for x in parts])
+    return Network(*(flat[e - x.size : e].reshape(x.shape).copy() for e, x in zip(ends, parts, strict=True)))
+
+
 def _look_up(head: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """Each word's place in the head, or -1."""
     if not len(head):
