@@ -33,13 +33,13 @@ def small(ids: DataFrame) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts one row with the smallest doc_id stays."""
-    found = ngram_join.classes(docs, NEAR)
-    # If several rows have the smallest id, the first of them; a row without links is its own group.
-    stays = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("uid").alias("uid"))
-    # Rows without an id form no group that could be named by one: they stay, but for copies, which are gone.
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("component_id"), "uid")
-    stays = cut(stays.union(nameless).select(F.col("uid").alias("__uid")), "pipeline-stays")
+    """Of each group of linked texts one row with the smallest doc_id stays, of several such rows the first. A row without links is its own group, whatever its id."""
+    found = ngram_join.classes(docs, NEAR, with_root=True)
+    # Null ids come last: a row with one stays if no other of its group has an id.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid"))
+    stays = found.where("root is not null").groupBy("root").agg(first.alias("first")).select(F.col("first.uid").alias("uid"))
+    alone = found.where("root is null").select("uid")
+    stays = cut(stays.union(alone).select(F.col("uid").alias("__uid")), "pipeline-stays")
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(small(stays), "__uid", "left_semi").select(docs.columns)
 
 

@@ -42,3 +42,11 @@ def test_odd_documents(spark):
     assert P.STAGES[-1][1](spark, docs, SF).count() == len(rows)
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies_go_by_their_group_and_not_by_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (8, b + " end"), (None, c), (None, c + " end"), (9, ""), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = [tuple(r) for r in P.without_near_copies(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(7, a), (7, b), (None, c), (9, ""), (9, None), (None, "")], key=str)

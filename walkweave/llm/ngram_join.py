@@ -298,8 +298,9 @@ def _stray(p: Params, tries: int):
     return run
 
 
-def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_ids: int = 2_000_000) -> DataFrame:
+def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_ids: int = 2_000_000, with_root: bool = False) -> DataFrame:
     """One row per input row: uid (its number), doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+    with_root: also root, a number that the rows of a component share and no others have; null for a row without shingles.
 
     Texts are lower-cased in A-Z. Null and blank texts have no shingles and link with nothing: their component is themselves. Equal sets are one from the start, so copies cost nothing.
     Repeated rows are documents of their own with the same id. No rows give none. send_ids: up to so many ids of sets to be verified (8 bytes each) are sent
@@ -395,6 +396,7 @@ def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_id
     linked = table.where("n > 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), "set")
     linked = linked.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = linked.join(least, "root").select("uid", "doc_id", "n_shingles", "component_id")
-    alone = table.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.union(alone)
+    columns = ["uid", "doc_id", "n_shingles", "component_id", *(["root"] if with_root else [])]
+    out = linked.join(least, "root").select(columns)
+    alone = table.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return out.union(alone.select(columns))
