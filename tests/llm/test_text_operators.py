@@ -397,7 +397,7 @@ def test_ngram_join(docs, empty):
     assert ngram_join.classes(empty).count() == 0
 
 
-def test_ngram_join_of_a_large_family(spark):
+def test_ngram_join_of_a_large_family(spark, monkeypatch):
     """Copies of one text, each edited, are far more than a group that gives all pairs; many lie just under the threshold."""
     rng = random.Random(11)
     base = prose(rng, 150, 5000).split()
@@ -409,8 +409,38 @@ def test_ngram_join_of_a_large_family(spark):
         texts.append((i, " ".join(w)))
     texts += [(100 + i, " ".join(base[:60]) + " " + prose(rng, 60 + i, 5000)) for i in range(30)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = Counter(brute_links(df.collect(), 4, 85, 100))
+    # Also with numbers of sets that clash, all common keys dealt to all owners, rounds of stars, joins instead of broadcasts and large groups in tiles.
+    monkeypatch.setattr(ngram_join, "TILE", 20)
+    for p, more in ((ngram_join.Params(4, 85, 100), {}), (ngram_join.Params(4, 85, 100, id_bits=9, probe=1), {"one_task": 0, "send_ids": 0})):
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(df, p, **more).collect()) == want
+
+
+def test_ngram_join_of_a_family_under_the_threshold(spark, monkeypatch):
+    """Templated texts of which no two link: the pairs compared as whole sets stay few."""
+    rng = random.Random(12)
+    base = prose(rng, 400, 50_000).split()
+    texts = []
+    for i in range(120):
+        w = base[:]
+        for j in rng.sample(range(0, 400, 8), 9):
+            w[j] = f"e{rng.randrange(10**9)}"
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    tried = []
+    whole = ngram_join.cut
+
+    def counted(some, name, keep=False):
+        out = whole(some, name, keep)
+        if name == "join-tried":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(df, ngram_join.Params(4, 85, 100)).collect())
-    assert got == Counter(brute_links(df.collect(), 4, 85, 100))
+    want = Counter(brute_links(df.collect(), 4, 85, 100))
+    assert got == want and len({x[2] for x in want}) > 60
+    assert sum(tried) < 4 * len(texts)
 
 
 def test_pigeonhole_never_loses_a_link():
@@ -426,7 +456,7 @@ def test_pigeonhole_never_loses_a_link():
         t = np.delete(s, gone)
         bands = [int(np.searchsorted(limits, len(x), "right")) - 1 for x in (s, t)]
         assert 0 <= bands[0] - bands[1] <= 1
-        keys = [set(np.concatenate([ngram_join.blocks(x, b, p) for b in (band, band - 1) if b >= 0]).tolist()) for x, band in zip((s, t), bands, strict=True)]
+        keys = [set((np.concatenate([ngram_join.blocks(x, b, p) for b in (band, band - 1) if b >= 0]) & ~ngram_join.LOW).tolist()) for x, band in zip((s, t), bands, strict=True)]
         assert len(gone) == 0 or keys[0] & keys[1]
         x, y = (np.frombuffer(ngram_join.sketch(v, b, p), np.uint64) for v, b in zip((s, t), bands, strict=True))
         assert ngram_join.hamming(ngram_join.fold(x, len(y)), y) <= len(gone)
@@ -435,7 +465,9 @@ def test_pigeonhole_never_loses_a_link():
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(-50, 50), rng.randrange(-50, 50)) for _ in range(60)] + [(1000 + i, 1001 + i) for i in range(40)]
-    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in components.connected_components(df).collect()}
+    assert got == {r.node: r.root for r in components.connected_components(df, 0).collect()}
     parent = {x: x for e in links for x in e}
     for _ in range(200):
         for a, b in links:

@@ -7,6 +7,8 @@ import math
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -86,13 +88,45 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads it again: nothing is computed twice, and lost executors cost no more than their own tasks."""
+#: The tables of the scopes that are open here, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """What cut() writes inside is deleted in the end, but for tables that it was told to keep: those belong to the scope around, if there is one."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        delete(spark, own)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes the rows as a table in the shared folder and reads it again: nothing is computed twice, and lost executors cost no more than their own tasks.
+    keep: the table outlives the scope in which it is written, as an operator's result does."""
     path = table_path(df.sparkSession, name)
+    scopes = _SCOPES.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def same_row(row: DataFrame, column: str, other: str):
+    """The column, or an error where it isn't what the first read had: row numbers tie two reads together, so a table must not change between them."""
+    changed = F.raise_error(F.lit("the rows changed between two reads; write the table first")).cast(row.schema[column].dataType)
+    return F.when(F.col(column).eqNullSafe(F.col(other)), F.col(column)).otherwise(changed)
+
+
 def lists(column) -> tuple[np.ndarray, np.ndarray]:
     """The values of an Arrow list column and where each row's begin; the last number is where they end."""
     if hasattr(column, "combine_chunks"):

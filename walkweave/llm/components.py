@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """links: (a, b) of long, any order, repeats allowed. Gives (node, root) for each node with a link, where root is the component's smallest node."""
-    edges = cut(_down(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "links")
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links, ascending, and the smallest node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+def _in_one_task(batches):
+    read = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if read:
+        nodes, root = roots_of(*map(np.concatenate, zip(*read, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["node", "root"])
+
+
+def connected_components(links: DataFrame, one_task: int = 1_000_000) -> DataFrame:
+    """links: (a, b) of long, any order, repeats allowed. Gives (node, root) for each node with a link, where root is the component's smallest node.
+    one_task: up to so many links (16 MB) are joined by one task; more go through rounds of stars, in which no task holds more than its share."""
+    links = cut(links.where("a <> b").select("a", "b"), "links")
+    if links.count() <= one_task:
+        return links.repartition(1).mapInArrow(_in_one_task, "node long, root long")
+    edges = cut(_down(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "links")
     state = _state(edges)
     while True:
         edges = cut(_small(_large(edges)), "links")
