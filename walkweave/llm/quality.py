@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, odd, text_of
+from .common import bounded_batches, cut, lists, mix, odd, scope, text_of
 
 
 @dataclass(frozen=True)
@@ -115,12 +115,14 @@ def margins(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", p: Params = Params()) -> Model:
-    """learn: tells from the column of ids which rows may be learnt from. Of several labels of a document the largest counts. Whole texts are used.
-    Without labels of both kinds the model has no margins, and its bias is the log-odds of the share of label 1 (of 1 without labels: nothing is known to be bad)."""
+    """learn: tells from the column of ids which rows may be learnt from. Of several labels of a document or text the largest counts. Whole texts are used.
+    The sample's features are a table, which one task reads in batches once an epoch; only the model comes to the driver. Without labels of both kinds the model has no margins, and its bias is the log-odds of the share of label 1 (of 1 without labels: nothing is known to be bad)."""
     labelled = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     picked = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").select("y", F.xxhash64("text").alias("h"), "text")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    # A text that is there many times counts once.
+    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "h", "text")
     lengths, buckets, chunk = p.lengths, p.buckets, p.chunk
 
     def features(batches):
@@ -133,48 +135,65 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", p: Pa
                 as_list = lambda v, e=ends: pa.ListArray.from_arrays(pa.array(e), pa.array(v.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], as_list(pair % buckets), as_list(n)], ["y", "h", "bucket", "n"])
 
-    # p.sample rows at most come to the driver, as arrays of the distinct buckets and their counts.
-    table = rows.mapInArrow(features, "y int, h long, bucket array<int>, n array<int>").toArrow()
-    y = table.column("y").to_numpy().astype(np.int64)
-    share = float(y.mean()) if len(y) else 1.0
-    flat = Model(np.zeros(2, np.float32), math.log((share + 1e-6) / (1 - share + 1e-6)), p.lengths, p.chunk)
-    if len(np.unique(y)) < 2:
-        return flat
-    bucket, count = table.column("bucket").combine_chunks(), table.column("n").combine_chunks()
-    offsets = bucket.offsets.to_numpy().astype(np.int64)
-    _, first = np.unique(table.column("h").to_numpy(), return_index=True)  # a text that is there many times counts once
-    return _descend(bucket.values.to_numpy(), count.values.to_numpy(), offsets, y, first, p)
-
-
-def _descend(bucket, count, offsets, y, rows, p: Params) -> Model:
-    """The labels weigh alike in the descent; the bias is moved back to their true shares in the end."""
+    with scope(docs.sparkSession):
+        table = cut(rows.mapInArrow(features, "y int, h long, bucket array<int>, n array<int>"), "quality-features")
+        count, ones = table.agg(F.count(F.lit(1)), F.sum("y")).first()
+        share = float(ones / count) if count else 1.0
+        if not count or not 0 < share < 1:
+            return Model(np.zeros(2, np.float32), math.log((share + 1e-6) / (1 - share + 1e-6)), p.lengths, p.chunk)
+        # p.sample rows at most, mixed once, in one file: a task reads it in this order.
+        table = cut(table.repartition(1).sortWithinPartitions(F.xxhash64("h"), "h"), "quality-mixed").coalesce(1)
+        state = _begin(p)
+        for epoch in range(p.epochs):
+            state = _epoch(table, state, share, epoch, int(count), p)
+    vectors, layer, bias = state
+    return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0] + math.log(share / (1 - share))), p.lengths, p.chunk)
+
+
+def _begin(p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(p.seed)
-    vectors = ((rng.random((p.buckets, p.dim), np.float32) - 0.5) / p.dim).astype(np.float32)
-    layer, bias = np.zeros((2, p.dim), np.float32), np.zeros(2, np.float32)
-    share = y[rows].mean()
+    return ((rng.random((p.buckets, p.dim), np.float32) - 0.5) / p.dim).astype(np.float32), np.zeros((2, p.dim), np.float32), np.zeros(2, np.float32)
+
+
+def descend(state, documents, share: float, rate) -> None:
+    """One pass, in place. documents: (label, buckets, counts) of each. rate: tells the step's rate from its number. The labels weigh alike; the bias is moved back to their true shares in the end."""
+    vectors, layer, bias = state
     weight = np.array([0.5 / max(1 - share, 1e-3), 0.5 / max(share, 1e-3)], np.float32)
-    steps, done = p.epochs * len(rows), 0
-    for _ in range(p.epochs):
-        for i in rng.permutation(rows):
-            a, b = offsets[i], offsets[i + 1]
-            rate = np.float32(p.rate * (1 - done / steps))
-            done += 1
-            at = bucket[a:b]
-            part = (count[a:b] / max(count[a:b].sum(), 1)).astype(np.float32)
-            hidden = part @ vectors[at] if b > a else np.zeros(p.dim, np.float32)
-            z = layer @ hidden + bias
-            q = np.exp(z - z.max())
-            q /= q.sum()
-            q[y[i]] -= 1
-            q *= weight[y[i]] * rate
-            back = q @ layer
-            layer -= np.outer(q, hidden)
-            bias -= q
-            if b > a:
-                # The average's gradient reaches a bucket by its share; as in the published method it isn't divided by the document's length.
-                vectors[at] -= (part / part.max())[:, None] * back
-    margin = vectors @ (layer[1] - layer[0])
-    return Model(margin.astype(np.float32), float(bias[1] - bias[0] + math.log(share / (1 - share))), p.lengths, p.chunk)
+    for done, (y, at, count) in enumerate(documents):
+        part = (count / max(count.sum(), 1)).astype(np.float32)
+        hidden = part @ vectors[at] if len(at) else np.zeros(vectors.shape[1], np.float32)
+        z = layer @ hidden + bias
+        q = np.exp(z - z.max())
+        q /= q.sum()
+        q[y] -= 1
+        q *= weight[y] * np.float32(rate(done))
+        back = q @ layer
+        layer -= np.outer(q, hidden)
+        bias -= q
+        if len(at):
+            # The average's gradient reaches a bucket by its share; as in the published method it isn't divided by the document's length.
+            vectors[at] -= (part / part.max())[:, None] * back
+
+
+def _epoch(table: DataFrame, state, share: float, epoch: int, count: int, p: Params):
+    """A pass over the table in one task, batch by batch."""
+    shared = table.sparkSession.sparkContext.broadcast(state)
+    steps = p.epochs * count
+
+    def documents(batches):
+        for batch in batches:
+            (bucket, ends), (n, _) = lists(batch.column(2)), lists(batch.column(3))
+            for i, y in enumerate(batch.column(0).to_pylist()):
+                yield y, bucket[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
+
+    def run(batches):
+        own = tuple(x.copy() for x in shared.value)
+        descend(own, documents(batches), share, lambda done: p.rate * (1 - (epoch * count + done) / steps))
+        yield pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array([x.astype(np.float32).tobytes() for x in own], pa.binary())], ["i", "x"])
+
+    found = {r.i: np.frombuffer(r.x, np.float32) for r in table.mapInArrow(run, "i long, x binary").collect()}
+    shared.unpersist()
+    return tuple(found[i].reshape(x.shape) for i, x in enumerate(state))
 
 
 def score(docs: DataFrame, model: Model, extra: list[str] | None = None, column: str = "text", name: str = "score") -> DataFrame:
