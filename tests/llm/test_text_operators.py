@@ -75,9 +75,8 @@ def test_maximal_segments_are_those_of_the_definition():
 
     rng = random.Random(1)
     for _ in range(300):
-        s = [rng.choice([-0.5, -0.5, -0.5, 0.3, 0.7, 1.9]) for _ in range(rng.randrange(1, 14))]
-        at = np.array([i for i, x in enumerate(s) if x > 0], int)
-        got = toxicity.segments(at, np.array([x for x in s if x > 0]), -0.5)
+        s = [rng.choice([-0.5, -0.8, -1.1, 0.3, 0.7, 1.9]) for _ in range(rng.randrange(1, 14))]
+        got = toxicity.segments(np.array(s))
         assert [(a, b, round(x, 9)) for a, b, x in got] == [(a, b, round(x, 9)) for a, b, x in sorted(slow(s))]
 
 
