@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -549,3 +550,20 @@ def test_mix_comes_near_targets(spark):
     for _, g in out.groupby("source"):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 40
     assert out.copies.max() <= 3
+
+
+def test_mix_draws_by_each_documents_own_probability(spark):
+    """Over many draws, documents of every size come as often as they are expected, and longer ones oftener."""
+    rng = random.Random(13)
+    rows = [(i, "ab"[i % 5 == 0], 2 ** rng.randrange(0, 9)) for i in range(500)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long").cache()
+    draws = 30
+    out = pd.concat([mixing.draw(sized, [5, 2, 1], 3, seed).toPandas() for seed in range(draws)])
+    a = out[out.source == "b"]
+    assert a.expected.nunique() > 5 and a.groupby("size").expected.first().is_monotonic_increasing
+    by_size = out.groupby(["source", "size"]).agg(copies=("copies", "mean"), expected=("expected", "first"), n=("copies", "size"))
+    part = by_size.expected % 1
+    # Pareto sampling keeps probabilities nearly; the draw ends within half a document of the target.
+    assert (np.abs(by_size.copies - by_size.expected) <= 4 * np.sqrt(part * (1 - part) / by_size.n) + 0.02).all()
+    for _, g in out.groupby("source"):
+        assert abs((g.expected * g["size"]).sum() / draws - g.target.iloc[0]) < 1e-6 * g.target.iloc[0] + 1e-6

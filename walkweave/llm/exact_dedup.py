@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, text_of
+from .common import cut, parts_for, scope, text_of
 
 #: A fingerprint has so many bits more than the number of rows needs: about one unique row in 2^SPARE is a suspect for nothing.
 SPARE = 12
@@ -108,8 +108,12 @@ def duplicates(docs: DataFrame, keep: list[str] | None = None, column: str = "te
     Null counts as the empty text, and empty texts are copies of each other. Exactly one row of a group is kept: the one with the largest doc_id, a null id being
     the smallest; among rows of the same id, any. An empty table gives no rows. digest: groups suspects before their bytes are compared; SHA-256 unless given.
     prefix: goes before the names of the four new columns. send_rows: up to so many rows the bitmaps (a bit per row: 32 MB) are sent to all tasks; beyond, suspects join by row number."""
+    with scope(docs.sparkSession):
+        return _duplicates(docs, keep or ["doc_id"], column, digest, send_rows, prefix)
+
+
+def _duplicates(docs: DataFrame, keep: list[str], column: str, digest: Column | None, send_rows: int, prefix: str) -> DataFrame:
     spark = docs.sparkSession
-    keep = keep or ["doc_id"]
     count = docs.count()
     bits = min(60, math.ceil(math.log2(count + 1)) + SPARE)
     owners = parts_for(spark, count, 4_000_000)
@@ -134,18 +138,19 @@ def duplicates(docs: DataFrame, keep: list[str] | None = None, column: str = "te
         numbers = numbers.select((F.shiftleft("task", ROW_BITS) + F.col("first") + F.col("b")).alias("uid"), F.lit(True).alias("set"))
         flagged = rows.join(numbers, "uid", "left").withColumn("suspect", F.coalesce("set", F.lit(False)))
     sha = F.sha2("text", 256).alias("text_sha256")
-    seen = cut(flagged.select(*[f"in_{c}" for c in keep], "own_id", "uid", "digest", "suspect", sha), "dedup-rows")
+    seen = cut(flagged.select(*[f"in_{c}" for c in keep], "own_id", "uid", "digest", "suspect", sha), "dedup-rows", keep=True)
     if seen.count() != count:
         raise RuntimeError("the rows changed between two reads; write the table before looking for duplicates in it")
     # Here bytes are compared: the text itself is a key. Each task sends a text once, however many copies it has read.
     groups = flagged.where("suspect").groupBy("digest", "text").agg(F.max("own_id").alias("keep_id"), F.coalesce(F.max_by("uid", "own_id"), F.max("uid")).alias("keep_uid"), F.count(F.lit(1)).alias("group_size"))
-    found = cut(groups.select("digest", "keep_id", "keep_uid", "group_size"), "dedup-groups")
+    found = cut(groups.select("digest", "keep_id", "keep_uid", "group_size"), "dedup-groups", keep=True)
     suspects = seen.where("suspect").drop("suspect")
     if found.groupBy("digest").count().where("count > 1").isEmpty():
         suspects = suspects.join(found, "digest")
     else:  # different texts share a digest: the rows join by their bytes
         again = flagged.where("suspect").select("uid", "digest", "text")
-        suspects = suspects.join(again.join(groups, ["digest", "text"]).select("uid", "keep_id", "keep_uid", "group_size"), "uid")
+        again = cut(again.join(groups, ["digest", "text"]).select("uid", "keep_id", "keep_uid", "group_size"), "dedup-again", keep=True)
+        suspects = suspects.join(again, "uid")
     single = seen.where("not suspect").drop("suspect").withColumns({"keep_id": F.col("own_id"), "keep_uid": F.col("uid"), "group_size": F.lit(1).cast("long")})
     out = suspects.select(*single.columns).union(single)
     return out.select(*[F.col(f"in_{c}").alias(c) for c in keep], F.col("keep_id").alias(f"{prefix}keep_id"), F.col("group_size").alias(f"{prefix}group_size"), (F.col("uid") == F.col("keep_uid")).alias(f"{prefix}kept"), F.col("text_sha256").alias(f"{prefix}text_sha256"))

@@ -123,16 +123,20 @@ s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0))::DOUB
        FROM s1 WINDOW w AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, max(level) OVER () AS top FROM s2),
 s AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(cap::DOUBLE, top * weight) END AS target FROM s3),
-e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected,
+k AS (SELECT d.source, length(bin(size)) + 7 AS weight, sum(size)::BIGINT AS words, max(target) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size > 0 GROUP BY 1, 2),
+k1 AS (SELECT *, (target - coalesce(sum(words) OVER w, 0)::DOUBLE * 3) / (sum(weight * words) OVER (PARTITION BY source) - coalesce(sum(weight * words) OVER w, 0))::DOUBLE AS one
+       FROM k WINDOW w AS (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k2 AS (SELECT *, max(one) OVER (PARTITION BY source) AS level FROM k1),
+n AS (SELECT source, max(level) AS level, max(target) - sum(floor(least(3.0::DOUBLE, level * weight) + 1e-12::DOUBLE)::BIGINT * words)::DOUBLE AS need FROM k2 GROUP BY source),
+e AS (SELECT d.*, source_size, target, CASE WHEN size > 0 THEN least(3.0::DOUBLE, level * (length(bin(size)) + 7)) ELSE 0 END AS expected,
              (('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
-      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-f AS (SELECT *, least(floor(expected + 1e-12), 3)::BIGINT AS certain FROM e),
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+f AS (SELECT *, floor(expected + 1e-12::DOUBLE)::BIGINT AS certain FROM e),
 g AS (SELECT *, greatest(expected - certain, 0.0::DOUBLE) AS chance FROM f),
 h AS (SELECT *, CASE WHEN chance > 0 AND chance < 1 AND size > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS odds FROM g),
 r AS (SELECT *, least(floor(odds / (1 + odds) * 281474976710656.0::DOUBLE)::BIGINT, 281474976710655) AS pareto FROM h),
 b AS (SELECT source, pareto, sum(size) AS there FROM r WHERE pareto IS NOT NULL GROUP BY ALL),
 c AS (SELECT b.*, coalesce(sum(there) OVER (PARTITION BY source ORDER BY pareto ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
-n AS (SELECT DISTINCT source, target - certain * source_size AS need FROM g),
 l AS (SELECT c.source, max_by(pareto, pareto) AS pareto, max_by(need - before, pareto) AS need, max_by(there, pareto) AS there
       FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE need - before >= 0 GROUP BY c.source),
 t AS (SELECT r.*, CASE WHEN size > 0 THEN r.certain ELSE 0 END + CASE WHEN r.pareto < l.pareto OR (r.pareto = l.pareto AND l.need * 2 >= l.there) THEN 1 ELSE 0 END AS copies
