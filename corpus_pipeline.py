@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walkweave.llm import exact_dedup, mixing, ngram_join, packing, quality
-from walkweave.llm.common import cut, documents, fold
+from walkweave.llm.common import cut, delete, documents, fold, same_row, scope
 from walkweave.llm.queries import tokenizer_files
 
 #: A document goes if the chance that it is good is below this.
@@ -34,21 +34,32 @@ def small(ids: DataFrame) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts one row with the smallest doc_id stays, of several such rows the first. A row without links is its own group, whatever its id."""
-    found = ngram_join.classes(docs, NEAR, with_root=True)
+    with scope(spark):
+        found = ngram_join.classes(docs, NEAR, with_root=True)
+        return docs_of(docs, _stays(found), "pipeline-stays")
+
+
+def _stays(found: DataFrame) -> DataFrame:
     # Null ids come last: a row with one stays if no other of its group has an id.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid"))
-    stays = found.where("root is not null").groupBy("root").agg(first.alias("first")).select(F.col("first.uid").alias("uid"))
-    alone = found.where("root is null").select("uid")
-    stays = cut(stays.union(alone).select(F.col("uid").alias("__uid")), "pipeline-stays")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(small(stays), "__uid", "left_semi").select(docs.columns)
+    stays = found.where("root is not null").groupBy("root").agg(first.alias("first")).select("first.uid", "first.doc_id")
+    return stays.union(found.where("root is null").select("uid", "doc_id"))
+
+
+def docs_of(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The documents of these rows (uid, doc_id, and maybe copies, which is how often each stays)."""
+    columns = ["__copies"] * ("copies" in rows.columns)
+    rows = rows.select(F.col("uid").alias("__uid"), F.col("doc_id").alias("__was"), *[F.col("copies").alias(c) for c in columns])
+    found = docs.withColumn("__uid", F.monotonically_increasing_id()).join(small(cut(rows, name, keep=True)), "__uid")
+    return found.withColumn("doc_id", same_row(found, "doc_id", "__was")).select(*docs.columns, *columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     sized = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    taken = mixing.draw(sized, WEIGHTS, COPIES, 11).where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
-    taken = small(cut(taken, "pipeline-taken"))
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(taken, "__uid")
+    with scope(spark):
+        taken = mixing.draw(sized, WEIGHTS, COPIES, 11).where("copies > 0").select("uid", "doc_id", "copies")
+        rows = docs_of(docs, taken, "pipeline-taken")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
 
@@ -69,7 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """A stage's input and scratch tables go once its output is written; the last stage's input stays, as the result is read from it."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scope(spark):
+            docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), keep=True)
+        delete(spark, before)
+        before = [docs.inputFiles()[0].rpartition("/")[0]] if docs.inputFiles() else []
     return STAGES[-1][1](spark, docs, sf_dir)
