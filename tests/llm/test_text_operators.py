@@ -220,7 +220,7 @@ def test_edited_texts(docs, empty):
     out = order_minhash.edited(docs).toPandas()
     assert len(out) == docs.count() and order_minhash.edited(empty).count() == 0
     table = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
-    table = sorted(table, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    table = sorted(table, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
     want = Counter()
     for i, r in enumerate(table):
         nxt, half = table[(i + 1) % len(table)].t, len(r.t) // 2
@@ -230,6 +230,21 @@ def test_edited_texts(docs, empty):
     assert out.near_edited.between(0, 1).all() and out.near_next.between(0, 1).all()
 
 
+@pytest.mark.parametrize("ids", [[*range(3000), 2**40], [i % 2 for i in range(3000)], [None if i % 3 else i for i in range(3000)], [7] * 3000, [-(2**63), *range(200), 2**63 - 1]])
+def test_neighbours_share_out_sparse_and_equal_ids(spark, ids):
+    rows = spark.createDataFrame([(x, f"text {i}") for i, x in enumerate(ids)], "doc_id long, text string")
+    dealt = order_minhash.neighbours(rows, 50).withColumn("h", F.xxhash64("text")).collect()
+    held = Counter(r.bucket for r in dealt if not r.ghost)
+    assert sum(held.values()) == len(ids) and max(held.values()) <= 150
+    order = sorted(((r.doc_id, r.h) for r in dealt if not r.ghost), key=lambda x: (x[0] is None, -(x[0] or 0), -x[1]))
+    follows = {x: y for x, y in zip(order, order[1:] + order[:1], strict=True)}
+    for b in held:
+        own = sorted((r for r in dealt if r.bucket == b), key=lambda r: (r.wrap, r.doc_id is None, -(r.doc_id or 0), -r.h))
+        for x, y in zip(own, own[1:], strict=False):
+            assert x.ghost or follows[(x.doc_id, x.h)] == (y.doc_id, y.h)
+        assert own[-1].ghost
+
+
 def test_edits_lower_likeness_and_order_counts(spark):
     rng = random.Random(8)
     a = prose(rng, 400, 5000).split()

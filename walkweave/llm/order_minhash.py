@@ -7,6 +7,7 @@ the order in which they stand in the text, and hashed as a tuple: that is the bi
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from .common import cut, parts_for, shuffle_partitions, text_of
 UNIT = 16
 #: A k-mer is packed into 64 bits: its hash above, its position below.
 PLACE = 24
-#: Cells of the ids' range, by which documents are dealt out in order.
-CELLS = 4096
+#: Most cells into which ids are dealt in order.
+CELLS = 1 << 16
 
 
 def units(text: Column) -> Column:
@@ -24,10 +25,12 @@ def units(text: Column) -> Column:
 
 
 def kmers(text: Column, k: int) -> Column:
-    """Per k-mer: hash (upper bits) and position (PLACE bits). A text of fewer units is one k-mer; one without units has none."""
+    """Per k-mer: hash (upper bits) and position (PLACE bits). A text of fewer units is one k-mer; one without units has none; one of more than 2^PLACE is an error."""
     u = units(text)
     whole = F.array(F.shiftleft(F.xxhash64(F.array_join(u, " ")), PLACE))
     n = F.size("u") - k
+    # A text of more units than places would mix positions and hashes: an error tells.
+    n = F.when(n >= 1 << PLACE, F.raise_error(F.lit("a text has too many words for a fingerprint")).cast("int")).otherwise(n)
     each = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.shiftleft(F.xxhash64(*[F.get("u", i + j) for j in range(k)]), PLACE).bitwiseOR(i.cast("long")))
     return u, F.when(F.size("u") == 0, F.array().cast("array<long>")).when(n < 0, whole).otherwise(each)
 
@@ -86,40 +89,46 @@ def as_text(signature: str) -> Column:
 def neighbours(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
     """Deals rows out in buckets of consecutive ids and adds each bucket's next row of the bucket below: columns bucket, ghost (a row that only serves as a neighbour), wrap.
 
-    Buckets are ranges of doc_id: the range of all ids is cut into equal cells, and a cell with many documents into more buckets. Only ids are read for that, and only
-    counts of cells come to the driver. Null ids come last; the last document's neighbour is the first."""
-    ids = docs.select("doc_id")
-    low, high, count = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    Buckets lie between quantiles of the ids themselves, so outliers and gaps don't matter; an id (or null) that fills more than one bucket is divided by the hash of the texts. Up to CELLS buckets have
+    per_bucket rows, more rows make them larger. Rows that agree in id and text are neighbours of each other and stay in one bucket. Only ids and hashes are read for that, and a number per bucket comes to the driver.
+    Null ids come last; the last document's neighbour is the first."""
+    spark = docs.sparkSession
+    ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    count, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     if not count:
         return docs.select("*", F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("ghost"), F.lit(False).alias("wrap"))
-    low, high = low or 0, high or 0
-    width = (high - low) // CELLS + 1
-    cell = F.floor((F.col("doc_id") - low) / width).cast("int")
-    per_bucket = max(1, min(per_bucket, -(-count // shuffle_partitions(docs.sparkSession))))
-    held = dict(ids.where("doc_id is not null").groupBy(cell.alias("cell")).agg(F.count(F.lit(1))).collect())
-    bases, splits, base = [], [], 0.0
-    for c in range(CELLS):
-        # `fine` buckets of a dense cell, or a part of one where cells are sparse
-        fine = held.get(c, 0) / per_bucket
-        bases.append(base)
-        splits.append(fine)
-        base += fine
-    literal = lambda v: F.lit([float(x) for x in v])
-    within = (F.col("doc_id") - low - cell.cast("long") * width) / float(width)
-    bucket = F.coalesce(F.floor(F.element_at(literal(bases), cell + 1) + F.element_at(literal(splits), cell + 1) * within).cast("long"), F.lit(-1).cast("long"))
-    firsts = cut(ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("doc_id")), "minhash-firsts")
+    per_bucket = max(1, min(per_bucket, -(-count // shuffle_partitions(spark))))
+    cells = max(1, min(CELLS, -(-count // per_bucket)))
+    cuts: list[int] = []
+    if known:
+        # An id that is several quantiles gets a cell of its own, from itself to the next number.
+        shares = np.arange(1, cells) / cells if cells > 1 else np.array([0.5])
+        found = ids.agg(F.percentile_approx("doc_id", F.lit(shares), max(1000, 10 * cells))).first()[0]
+        cuts = sorted({*found, *(x + 1 for x, y in zip(found, found[1:]) if x == y and x < (1 << 63) - 1)})
+    # How many cuts are at or below the id, by halving; 0 is for null.
+    limits, steps = F.lit(np.array(cuts or [0], np.int64)), [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(limits, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)) if cuts else F.lit(0)
+    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(below + 1)
+    held = ids.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("doc_id") == F.max("doc_id"), F.lit(True)).alias("one")).collect()
+    parts = {r.cell: min(1024, -(-r.n // per_bucket)) for r in held if r.one and r.n > 2 * per_bucket}
+    part = F.lit(0).cast("long")
+    if parts:
+        share = (F.shiftright("h", 33) + (1 << 30)).cast("double") / float(1 << 31)
+        wide = F.get(F.lit(np.array([parts.get(c, 1) for c in range(len(cuts) + 2)])), F.col("cell"))
+        # Rows of an id go by their hashes downward, so the highest share of them is the lowest bucket.
+        part = F.floor(share * wide).cast("long")
+    bucket = F.col("cell").cast("long") * 1024 + part
+    ids = ids.withColumn("cell", cell).select("doc_id", "h", bucket.alias("bucket"))
+    firsts = cut(ids.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("first")).select("bucket", "first.*"), "minhash-firsts")
     # The first document of each bucket also stands in the bucket that comes before it (they are counted down), that of the very first bucket in the last one.
     # One row per bucket is ordered in one task.
     order = Window.orderBy(F.desc("bucket"))
     ghosts = firsts.withColumn("to", F.lag("bucket").over(order)).withColumn("last", F.min("bucket").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ghosts = ghosts.select("doc_id", F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wrap"))
-    ghosts = cut(ghosts, "minhash-ghosts")
-    dealt = docs.withColumn("bucket", bucket)
+    ghosts = ghosts.select(F.col("doc_id").alias("first_id"), F.col("h").alias("first_h"), F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wrap"))
+    side = F.broadcast(cut(ghosts, "minhash-ghosts"))  # a row per bucket: at most 2 * CELLS and the parts of ids that fill buckets
+    dealt = docs.withColumns({"cell": cell, "h": F.xxhash64("text")}).withColumn("bucket", bucket)
     own = F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost"), F.lit(False).alias("wrap")))
-    # A row per bucket: its number is bounded by count / per_bucket. It is sent to all tasks while that is below a million, else joined.
-    side = ghosts.withColumnRenamed("doc_id", "first_id")
-    side = F.broadcast(side) if count / per_bucket < 1e6 else side
-    joined = dealt.join(side, F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    joined = dealt.join(side, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")), "left")
     more = F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(F.struct(F.col("to").alias("bucket"), F.lit(True).alias("ghost"), F.col("wrap").alias("wrap")))))
     return joined.select(*docs.columns, F.explode(more).alias("m")).select(*docs.columns, "m.*")
 
@@ -134,11 +143,11 @@ def edited(docs: DataFrame, k: int = 3, bins: int = 64, picks: int = 2, column:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A document's edited text has its last floor(n_chars / 2) code points replaced by as many of the first ones (or all) of the next document by descending doc_id. Rows of the same id follow each
-    other by the hash of their texts; null ids come last, and after the last row comes the first. Null texts are empty. A table of one row has itself as the next. No rows give none."""
+    other by the hash of their texts, downward; null ids come last, and after the last row comes the first. Null texts are empty. A table of one row has itself as the next. No rows give none."""
     rows = docs.select("doc_id", text_of(column).alias("text"))
     rows = with_signature(rows, "text", "sig", k, bins, picks)
     dealt = neighbours(rows)
-    order = Window.partitionBy("bucket").orderBy("wrap", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    order = Window.partitionBy("bucket").orderBy("wrap", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
     dealt = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sig", F.lead("sig").over(order)).where("not ghost")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
