@@ -26,17 +26,18 @@ OTHER, END = 0, 1  # the network's symbols for words that it doesn't have and fo
 
 @dataclass(frozen=True)
 class Params:
-    """vocabulary: the network's symbols. per_class: symbols of an output class. hidden: units. sample: most training documents by which the network begins (picked by a hash
-    of their ids; then it learns from all, as the counts do). head: most words whose counts are sent to all tasks. window: steps of truncated backpropagation. lanes: texts trained side by side."""
+    """vocabulary: the network's symbols. per_class: symbols of an output class. hidden: units. sample: about so many training documents by which the network begins (picked by a hash
+    of their row numbers; then it learns from all, as the counts do). head: most words whose counts are sent to all tasks. window: steps of truncated backpropagation.
+    lanes: texts trained side by side. piece: steps after which training begins a long text's state anew; scoring never does."""
 
-    vocabulary: int = 2048
+    vocabulary: int = 1024
     per_class: int = 32
-    hidden: int = 32
-    sample: int = 1500
+    hidden: int = 16
+    sample: int = 4000
     head: int = 150_000
-    window: int = 32
-    lanes: int = 48
-    epochs: int = 3
+    window: int = 16
+    lanes: int = 400
+    piece: int = 512
     rate: float = 4e-3
     seed: int = 5
 
@@ -104,8 +105,9 @@ def _by_class(cls: np.ndarray):
         yield int(cls[order[a]]), order[a:b]
 
 
-def lanes_of(ids: np.ndarray, offsets: np.ndarray, lanes: int):
-    """Texts end to end in lanes of about equal length: inputs, targets, text of each place (-1: none), whether a text begins there; each (steps, lanes)."""
+def lanes_of(ids: np.ndarray, offsets: np.ndarray, lanes: int, first: np.ndarray | None = None):
+    """Texts end to end in lanes of about equal length: inputs, targets, text of each place (-1: none), whether a text begins there; each (steps, lanes).
+    first: the symbol before each text, END unless given."""
     sizes = np.diff(offsets)
     heap = [(0, i) for i in range(lanes)]
     place = np.zeros((len(sizes), 2), np.int64)
@@ -122,17 +124,34 @@ def lanes_of(ids: np.ndarray, offsets: np.ndarray, lanes: int):
         inputs[at + 1 : at + len(own), lane] = own[:-1]
         owner[at : at + len(own), lane] = d
         begins[at, lane] = True
+        if first is not None:
+            inputs[at, lane] = first[d]
     return inputs, targets, owner, begins
 
 
+def pieces_of(ids: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts cut into pieces of `most` symbols: their offsets, and the symbol before each."""
+    count = -(-np.diff(offsets) // most)
+    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.repeat(offsets[:-1], count) + number * most
+    first = np.where(number > 0, ids[np.maximum(begin - 1, 0)], END)
+    return np.append(begin, offsets[-1]), first
+
+
 def log_likelihood(net: Network, ids: np.ndarray, offsets: np.ndarray, window: int = 64) -> np.ndarray:
     """Natural log probability of each text, given as its symbols with the end."""
     count = len(offsets) - 1
     out = np.zeros(count)
     if not count:
         return out
-    longest = int(np.diff(offsets).max())
-    inputs, targets, owner, begins = lanes_of(ids, offsets, int(np.clip(len(ids) // max(longest, 1), 1, 512)))
+    sizes = np.diff(offsets)
+    long_ = sizes > max(len(ids) // 256, 1024)
+    if long_.any() and not long_.all():  # beside a long text many lanes would stand empty
+        for some in (long_, ~long_):
+            own = np.concatenate([ids[a:b] for a, b in zip(offsets[:-1][some], offsets[1:][some], strict=True)])
+            out[some] = log_likelihood(net, own, np.concatenate([[0], np.cumsum(sizes[some])]), window)
+        return out
+    inputs, targets, owner, begins = lanes_of(ids, offsets, int(np.clip(len(ids) // max(int(sizes.max()), 1), 1, 512)))
     h = np.zeros((inputs.shape[1], net.state.shape[0]), np.float32)
     k = net.words.shape[1]
     for a in range(0, len(inputs), window):
@@ -237,15 +256,6 @@ class Learner:
         return h.copy(), grads
 
 
-def train(net: Network, ids: np.ndarray, offsets: np.ndarray, p: Params) -> Network:
-    lanes = lanes_of(ids, offsets, max(1, min(p.lanes, len(offsets) - 1)))
-    total = p.epochs * -(-len(lanes[0]) // p.window)
-    learner = Learner(net, p)
-    for _ in range(p.epochs):
-        learner.once_over(*lanes, lambda done: p.rate * min(1.0, done / 20) * (1 - 0.9 * done / total))
-    return net
-
-
 @dataclass
 class Model:
     """head: hashes of the most frequent words, ascending; head_count: their counts; symbol: the network's symbol of each. tokens, types: of all training tokens,
@@ -280,21 +290,18 @@ def fit(docs: DataFrame, learn, p: Params = Params(), column: str = "text") -> M
     unigram = np.concatenate([[rest, ends], count[own]]).astype(float)
     by_hash = np.argsort(word)
     model = Model(new_network(unigram, p), word[by_hash], count[by_hash], symbol[by_hash], words + ends, types + (ends > 0), rest + types - len(own) + 1, ends, counts)
-    # A network that a few documents have taught is where all shards begin; then every training document is learnt from.
-    picked = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
-    sample = training.join(F.broadcast(picked.distinct()), "doc_id").select("doc_id", hashes.alias("w"))
-    found = sample.mapInArrow(_symbols(model), "doc_id long, s array<int>").toArrow().sort_by("doc_id")
-    if found.num_rows:
-        ids, offsets = lists(found.column("s"))
-        train(model.network, ids, offsets, p)
     if ends:
+        # A network that one task has taught by a few documents is where all shards begin; then every training document is learnt from.
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) < min(1.0, p.sample / ends) * (1 << 20)
+        some = training.select(hashes.alias("w"), part.alias("part")).where("part").select("w")
+        model.network = learn_all(some.repartition(1), model, p)
         model.network = learn_all(training.select(hashes.alias("w")), model, p)
     return model
 
 
 def learn_all(rows: DataFrame, model: Model, p: Params, chunk: int = 400_000, block: int = 4096) -> Network:
     """Each task learns from all of its rows (hashed words), beginning with the model's network; the networks are averaged by the tokens that each has seen.
-    The number of shards grows with the input. chunk: tokens that a task holds at once, whole documents. block: numbers of a network in a row of the result."""
+    The number of shards grows with the input. chunk: tokens that a task holds at once, whole documents. block: numbers of a network in a row of the result. Without rows the network stays."""
     spark = rows.sparkSession
     symbols = _symbols(model)
     shared = spark.sparkContext.broadcast(model.network)
@@ -302,10 +309,10 @@ def learn_all(rows: DataFrame, model: Model, p: Params, chunk: int = 400_000, bl
     def shard(batches):
         net = copy.deepcopy(shared.value)
         learner, seen = Learner(net, p), 0
-        rate = lambda done: p.rate / 2 * min(1.0, done / 20)
+        rate = lambda done: p.rate * min(1.0, done / 20) / (1 + done / 200)
         for ids, offsets in chunks(symbols(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(0)], ["doc_id", "w"]) for b in batches)):
-            lanes = max(p.lanes, min(len(ids) // (64 * p.window), 256))
-            learner.once_over(*lanes_of(ids, offsets, max(1, min(lanes, len(offsets) - 1))), rate)
+            offsets, first = pieces_of(ids, offsets, p.piece)
+            learner.once_over(*lanes_of(ids, offsets, max(1, min(p.lanes, len(ids) // p.piece, len(first))), first), rate)
             seen += len(ids)
         if seen:
             flat = np.concatenate([x.ravel() for x in net.parts()])
@@ -336,6 +343,8 @@ def learn_all(rows: DataFrame, model: Model, p: Params, chunk: int = 400_000, bl
 
     cells = rows.mapInArrow(shard, "block long, seen long, x binary").repartition("block").sortWithinPartitions("block", "seen", "x")
     found = cells.mapInArrow(add, "block long, x binary").toArrow().sort_by("block")
+    if not found.num_rows:
+        return model.network
     flat = np.concatenate([np.frombuffer(x, np.float32) for x in found.column("x").to_pylist()])
     parts = model.network.parts()
     ends = np.cumsum([x.size for x in parts])
