@@ -2,7 +2,7 @@
 
 Each remainder of a document goes to the fill level that makes the sum, over all levels, of the squared number of windows partially filled to it
 least; an array holds that number for each level. Tasks pack their own rows, so nothing is shuffled. What is partially filled in the end
-of a task's rows is cut further and laid end to end, so at most one window of a task is short.
+of a task's rows is cut further and laid end to end, so at most one window of a task is short. Small partitions are read by one task, so that it has enough documents for the rule to place most of them.
 """
 
 from __future__ import annotations
@@ -86,13 +86,14 @@ for _name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offs
     PIECES.add(_name, LongType())
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 2048, keep: list[str] | None = None, column: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 2048, keep: list[str] | None = None, column: str = "text", with_ids: bool = False, per_task: int = 8000) -> DataFrame:
     """One row per piece: the columns of `keep` (doc_id), start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where with_ids.
 
     tokenizer, ranks: files of a tokenizer. A document is its ids and END_ID; null counts as empty and so is END_ID alone. What exceeds the capacity is cut
-    into full windows and one remainder. Repeated rows are packed each on their own. An empty table gives no rows."""
+    into full windows and one remainder. Repeated rows are packed each on their own. An empty table gives no rows. per_task: partitions are put together, without a shuffle, until so many documents come to each on the average."""
     bounded_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
+    docs = docs.coalesce(max(1, docs.count() // per_task))
     rows = docs.select(*keep, F.spark_partition_id().cast("long").alias("__task"), text_of(column).alias("__text"))
     fields = [*rows.schema.fields[: len(keep)], *PIECES.fields]
     schema = StructType(fields)
