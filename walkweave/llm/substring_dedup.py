@@ -16,19 +16,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lists, mix, odd, parts_for, text_of, words
+from .common import bounded_batches, cut, lists, mix, odd, parts_for, same_row, scope, text_of, words
 from .common import hashes as hash_words
 from .fm_index import FMIndex
 
 LAST = np.int64(2**63 - 1)
+#: Bytes of a word's hash in a shard's texts.
+WIDE = 6
 
 
 @dataclass(frozen=True)
 class Params:
-    """window: words of a passage. k: words of an anchor, fewer than the window's."""
+    """window: words of a passage. k: words of an anchor, fewer than the window's. id_bits: of a text's number; texts whose numbers clash are told apart by a second one."""
 
     window: int = 13
     k: int = 5
+    id_bits: int = 64
+
+
+def packed(w: np.ndarray) -> np.ndarray:
+    """The upper WIDE bytes of each word's hash, a row each."""
+    return np.ascontiguousarray(np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8)[:, 8 - WIDE :])
+
+
+def unpacked(text: bytes) -> np.ndarray:
+    out = np.zeros((len(text) // WIDE, 8), np.uint8)
+    out[:, :WIDE] = np.frombuffer(text, np.uint8).reshape(-1, WIDE)
+    return out.view(np.uint64).ravel()
 
 
 def anchors(w: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +132,7 @@ def _send_texts(p: Params, shards: int):
                 use = np.isin(h, wanted[limits[i] : limits[i + 1]])
                 first = np.searchsorted(own, np.arange(len(h)))  # windows of an anchor follow each other
                 last = np.append(first[1:], len(own))
-                short = (w >> np.uint64(32)).astype(np.uint32)
+                short = packed(w)
                 shard = _part(h, shards)
                 for j in np.flatnonzero(use):
                     content = short[first[j] : last[j] - 1 + p.window].tobytes()
@@ -130,7 +144,7 @@ def _send_texts(p: Params, shards: int):
                 out = [[] for _ in range(8)]
                 for shard, (texts, places) in by_shard.items():
                     columns = zip(*places, strict=True)
-                    row = [shard, b"".join(texts), np.array([len(x) // 4 for x in texts], np.int32).tobytes(), np.array([x[1] for x in texts.values()], np.int64).tobytes()]
+                    row = [shard, b"".join(texts), np.array([len(x) // WIDE for x in texts], np.int32).tobytes(), np.array([x[1] for x in texts.values()], np.int64).tobytes()]
                     row += [np.array(x, t).tobytes() for x, t in zip(columns, (np.int32, np.int64, np.int64, np.int32), strict=True)]
                     for a, b in zip(out, row, strict=True):
                         a.append(b)
@@ -146,7 +160,7 @@ def repeats(texts: list[np.ndarray], least: np.ndarray, window: int) -> tuple[np
     """Streams each text through an index of all: for each of its windows (text, place), the smallest `least` of the texts that have it; windows of one text alone are left out."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-    flat = np.concatenate([np.append(t, 0) for t in texts]).astype(np.uint32)
+    flat = np.concatenate([np.append(t, np.uint64(0)) for t in texts])
     inside = np.ones(len(flat), bool)
     inside[begin[1:] - 1] = False
     symbols = np.zeros(len(flat), np.int64)
@@ -178,8 +192,8 @@ def _search(p: Params):
         for row in group.itertuples(index=False):
             own, at = [], 0
             for n, order in zip(np.frombuffer(row.lengths, np.int32).tolist(), np.frombuffer(row.least, np.int64).tolist(), strict=True):
-                k = numbers.setdefault(row.words[at : at + 4 * n], len(numbers))
-                at += 4 * n
+                k = numbers.setdefault(row.words[at : at + WIDE * n], len(numbers))
+                at += WIDE * n
                 own.append(k)
                 if k == len(least):
                     least.append(order)
@@ -191,9 +205,9 @@ def _search(p: Params):
             places.append(np.frombuffer(row.places, np.int32).astype(np.int64))
         text, classes, orders, places = map(np.concatenate, (text, classes, orders, places))
         least = np.array(least, np.int64)
-        found, place, smallest = repeats([np.frombuffer(t, np.uint32) for t in numbers], least, p.window)
+        found, place, smallest = repeats([unpacked(t) for t in numbers], least, p.window)
         # A window of one distinct text alone: its smallest document is the text's.
-        size = np.array([len(t) // 4 - p.window + 1 for t in numbers], np.int64)
+        size = np.array([len(t) // WIDE - p.window + 1 for t in numbers], np.int64)
         base = np.cumsum(size) - size
         owner = np.repeat(least, size)
         owner[base[found] + place] = smallest
@@ -221,17 +235,33 @@ def repeated(docs: DataFrame, p: Params = Params(), column: str = "text", send_i
 
     A word is removed if a window over it also starts in a document with a smaller doc_id; all windows are judged on the input. Null texts have no words. A null doc_id
     is larger than any other, and rows with the same id (or none) don't remove each other's words. Texts shorter than a window keep all. No rows give none.
-    send_ids: up to so many row numbers (8 bytes each) are sent to all tasks that read texts again; more are joined."""
+    Windows are compared by 48 bits of each of their words, equal texts by 128 bits. The rows are read several times; an error tells if they changed.
+    All occurrences of an anchor (24 bytes each, texts that are equal as a whole once) meet in one task. send_ids: up to so many row numbers (8 bytes each) are sent to all tasks that read texts again; more are joined."""
+    bounded_batches(docs.sparkSession)
+    with scope(docs.sparkSession):
+        return _repeated(docs, p, column, send_ids)
+
+
+def _repeated(docs: DataFrame, p: Params, column: str, send_ids: int) -> DataFrame:
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), words(text_of(column)).alias("words"))
     joined = F.array_join("words", " ")
-    class_ = F.xxhash64(joined).alias("class")
+    one = F.shiftrightunsigned(F.xxhash64(joined), 64 - p.id_bits)
     hashes = hash_words(F.col("words")).alias("w")
-    table = cut(rows.select("uid", "doc_id", F.size("words").cast("long").alias("n_words"), class_, F.sha2(joined, 256).alias("sha")), "repeats-rows")
-    long_ = table.where(F.col("n_words") >= p.window)
+    two = F.xxhash64(F.lit("again"), joined)
     order = F.coalesce("doc_id", F.lit(int(LAST)))
-    classes = long_.groupBy("class").agg(F.min(order).alias("order"), F.min_by("uid", order).alias("uid"))
+    table = cut(rows.select("uid", "doc_id", F.size("words").cast("long").alias("n_words"), one.alias("class"), two.alias("second"), F.sha2(joined, 256).alias("sha")), "repeats-rows", keep=True)
+    number = lambda some: some.groupBy("class").agg(F.min(order).alias("order"), F.min(F.struct(order, "uid", "doc_id")).alias("row"), F.min("second").alias("low"), F.max("second").alias("high"))
+    classes = cut(number(table.where(F.col("n_words") >= p.window)), "repeats-classes")
+    # Of n texts about n^2 / 2^65 pairs clash: three among 10^10.
+    clashes = [r[0] for r in classes.where("low <> high").select("class").collect()]
+    class_ = one.alias("class")
+    if clashes:
+        class_ = F.when(one.isin(clashes), two).otherwise(one).alias("class")
+        table = table.withColumn("class", F.when(F.col("class").isin(clashes), F.col("second")).otherwise(F.col("class")))
+        classes = cut(number(table.where(F.col("n_words") >= p.window)), "repeats-classes")
+    long_ = table.where(F.col("n_words") >= p.window)
+    classes = classes.select("class", "order", "row.uid", "row.doc_id")
     total = long_.agg(F.sum("n_words")).first()[0] or 0
     owners = 4 * parts_for(spark, total // 4, 2_000_000)
     sent = rows.where(F.size("words") >= p.window).select(class_, hashes).mapInArrow(_send_anchors(p, owners), "owner int, anchors binary, classes binary")
@@ -242,7 +272,9 @@ def repeated(docs: DataFrame, p: Params = Params(), column: str = "text", send_i
     def read_again(which: DataFrame, *columns) -> DataFrame:
         ids = which.select("uid")
         some = rows.join(F.broadcast(ids), "uid", "left_semi") if ids.count() <= send_ids else rows
-        return some.select("uid", *columns).join(which, "uid")
+        both = some.select("uid", F.col("doc_id").alias("now"), *columns).join(which, "uid")
+        tied = "class" if "class" in which.columns else "uid"
+        return both.withColumn(tied, same_row(both, "doc_id", "now", tied)).drop("now")
 
     texts = read_again(wanted, hashes).select("class", "order", "w", "anchors").mapInArrow(_send_texts(p, owners), ", ".join(f"{n} {'int' if n == 'shard' else 'binary'}" for n in TEXTS))
     spans = texts.groupBy("shard").applyInPandas(_search(p), "classes binary, starts binary, ends binary")
@@ -250,7 +282,7 @@ def repeated(docs: DataFrame, p: Params = Params(), column: str = "text", send_i
     spans = cut(spans.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "repeats-spans")
     # Of equal texts, those of the smallest id are judged by the spans; the others repeat it as a whole.
     judged = long_.join(classes.select("class", "order"), "class").select("uid", "doc_id", "n_words", "sha", "class", (order > F.col("order")).alias("copy"))
-    judged = cut(judged.join(spans, "class", "left"), "repeats-judged")
+    judged = cut(judged.join(spans, "class", "left"), "repeats-judged", keep=True)
     nothing, span = hashlib.sha256(b"").hexdigest(), "array<struct<start:long,end:long>>"
     output = ["uid", "doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
     zero, none = F.lit(0).cast("long"), F.array().cast(span)
