@@ -182,6 +182,31 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty, **files).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_both_libraries_give_the_same_ids(sf):
+    """Over all given documents, and over texts made of blanks, controls, marks, many scripts, long words and the special token."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    files = tokenizer_files()
+    whole, encode = Tokenizer.from_file(files["tokenizer"]), packing.encoder(**dict(zip(("path", "ranks"), files.values(), strict=True)))
+    texts = [x or "" for x in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    rng = random.Random(17)
+    alphabet = [*map(chr, range(1, 0x250)), *" \t\n\r\x0b\x0c\x85\u00a0\u2028\u3000", *"\u0301\u200d\ufe0f\U0001f600\U0001f1e9字語한अ๑١Ⅷ½²ſß\uffff", "'s", "'LL", "  ", "\n\n", "12345", "<|endoftext|>", "x" * 300]
+    texts += ["".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(3000)] + ["y" * 20_000, " " * 5000, "\n" * 3000]
+    for t in texts:
+        assert list(encode(t)) == whole.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_the_rule_places_most_tokens_of_small_partitions(spark):
+    """Few pieces are cut further at a task's end, however the rows are partitioned."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(rng, int(1500 * rng.random() ** 2) + 1)) for i in range(9000)], "doc_id long, text string").repartition(40)
+    out = packing.pack(docs, **tokenizer_files())
+    cut = out.where("start % 2048 != 0 or (length < 2048 and start + length < doc_tokens)").count()
+    assert cut < 0.2 * out.count()
+
+
 # --- Order MinHash
 
 
@@ -538,7 +563,9 @@ def test_repeated_passages(docs, empty):
         want[(r.doc_id, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
     got = Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out.itertuples())
     assert got == want and substring_dedup.repeated(empty).count() == 0
-    assert Counter(x.kept_sha256 for x in substring_dedup.repeated(docs, send_ids=0).collect()) == Counter(out.kept_sha256)
+    # Also with texts whose numbers clash and with joins instead of broadcasts.
+    for p, send in ((substring_dedup.Params(), 0), (substring_dedup.Params(id_bits=3), 1000)):
+        assert Counter(x.kept_sha256 for x in substring_dedup.repeated(docs, p, send_ids=send).collect()) == Counter(out.kept_sha256)
 
 
 # --- mixing

@@ -121,10 +121,10 @@ def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def same_row(row: DataFrame, column: str, other: str):
-    """The column, or an error where it isn't what the first read had: row numbers tie two reads together, so a table must not change between them."""
-    changed = F.raise_error(F.lit("the rows changed between two reads; write the table first")).cast(row.schema[column].dataType)
-    return F.when(F.col(column).eqNullSafe(F.col(other)), F.col(column)).otherwise(changed)
+def same_row(row: DataFrame, column: str, other: str, value: str | None = None):
+    """`value` (the column itself), or an error where the column isn't what the first read had: row numbers tie two reads together, so a table must not change between them."""
+    changed = F.raise_error(F.lit("the rows changed between two reads; write the table first")).cast(row.schema[value or column].dataType)
+    return F.when(F.col(column).eqNullSafe(F.col(other)), F.col(value or column)).otherwise(changed)
 
 
 def lists(column) -> tuple[np.ndarray, np.ndarray]:

@@ -404,7 +404,7 @@ def _classes(docs: DataFrame, p: Params, column: str, send_ids: int, one_task: i
         found = cut(ids.distinct().join(sets.select("set", F.col("row.uid").alias("uid"), F.col("row.doc_id").alias("was")), "set"), "join-wanted")
         found = F.broadcast(found) if found.count() <= send_ids else found
         read = rows.join(found, "uid")
-        return read.select(F.when(same_row(read, "doc_id", "was").isNull(), F.col("set")).otherwise(F.col("set")).alias("set"), hashes)
+        return read.select(same_row(read, "doc_id", "was", "set").alias("set"), hashes)
 
     either = lambda some: some.select(F.col("a").alias("set")).union(some.select(F.col("b").alias("set")))
     sketches = cut(texts_of(either(pairs)).mapInArrow(_sketches(p), "set long, n long, band int, bits binary"), "join-sketches")
