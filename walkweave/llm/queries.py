@@ -106,10 +106,36 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(documents(spark, sf_dir), ngram_join.Params(4, 85, 100)).drop("uid")
 
 
+#: Words of each document, lower-cased in A-Z or as they are.
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+OP8_SQL = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+e AS (SELECT r, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING count(*) * 100 >= 85 * (a.n + b.n - count(*))),
+k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(r, t) AS (SELECT r, r FROM s UNION SELECT c.r, k.b FROM c JOIN k ON c.t = k.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(d.doc_id) AS component_id FROM c JOIN s ON s.r = c.r JOIN s d ON d.r = c.t GROUP BY s.r, s.doc_id, len(s.s)
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated(documents(spark, sf_dir)).drop("uid", "spans")
 
 
+OP9_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+x0 AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w),
+x AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM x0),
+f AS (SELECT g, min(doc_id) AS m FROM x GROUP BY g),
+h AS (SELECT r, i FROM x JOIN f ON x.g = f.g WHERE m < doc_id),
+c AS (SELECT DISTINCT r, i + j AS p FROM h, range(13) t(j)),
+u AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM w),
+k AS (SELECT u.r, string_agg(t, ' ' ORDER BY u.p) AS kept, count(*) AS n FROM u LEFT JOIN c ON u.r = c.r AND u.p = c.p WHERE c.r IS NULL GROUP BY u.r)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.r = k.r
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir), [5, 2, 1], 3)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -150,4 +176,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+    return {"op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
