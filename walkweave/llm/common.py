@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
@@ -98,6 +99,12 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files and broadcasts of finished steps go when the driver's garbage is collected, for which a large heap may wait for hours."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scope(spark: SparkSession):
     """What cut() writes inside is deleted in the end, but for tables that it was told to keep: those belong to the scope around, if there is one."""
@@ -108,6 +115,7 @@ def scope(spark: SparkSession):
     finally:
         _SCOPES.reset(token)
         delete(spark, own)
+        release(spark)
 
 
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lists, lower_words, mix, odd, parts_for, same_row, scaled, scope, text_of
+from .common import bounded_batches, cut, lists, lower_words, mix, odd, parts_for, release, same_row, scaled, scope, text_of
 from .common import hashes as hash_words
 from .components import connected_components
 
@@ -343,7 +343,7 @@ def _stray(p: Params, tries: int):
     return run
 
 
-def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_ids: int = 2_000_000, with_root: bool = False, one_task: int = 1_000_000) -> DataFrame:
+def classes(docs: DataFrame, p: Params = Params(), column: str = "text", send_ids: int = 1_000_000, with_root: bool = False, one_task: int = 1_000_000) -> DataFrame:
     """One row per input row: uid (its number), doc_id, n_shingles, component_id (smallest doc_id reachable by links).
     with_root: also root, a number that the rows of a component share and no others have; null for a row without shingles.
 
@@ -384,6 +384,7 @@ def _classes(docs: DataFrame, p: Params, column: str, send_ids: int, one_task: i
     giants = _giants(rows, p, clashes, hashes)
     sent = rows.select(hashes).mapInArrow(_send(p, owners, clashes, giants), "owner int, keys binary, sets binary")
     met = cut(sent.groupBy("owner").applyInPandas(_meet(giants), "a binary, b binary, n binary, key binary, set binary, size binary"), "join-met")
+    release(spark)
     pairs = met.select("a", "b", "n").mapInArrow(_open(["a", "b", "n"], [np.int64, np.int64, np.int32]), "a long, b long, n int")
     hot = met.select("key", "set", "size").where(F.length("key") > 0).mapInArrow(_open(["full", "set", "size"], [np.int64] * 3), "full long, set long, size long")
     hot = hot.select("set", "size", F.shiftright("full", SLACK).bitwiseAND((1 << CUT) - 1).alias("cut"), F.col("full").bitwiseAND((1 << SLACK) - 1).cast("int").alias("slack"), F.col("full").bitwiseAND(~int(LOW)).alias("key"))
@@ -439,6 +440,7 @@ def _classes(docs: DataFrame, p: Params, column: str, send_ids: int, one_task: i
         old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         return cut(old.union(moved.select(F.col("root").alias("node"), F.col("to").alias("root")).join(roots, "node", "left_anti")), "join-roots")
 
+    release(spark)
     # Each set is first tried with the one with which it shares the most keys; of the other pairs only those that lie in different components then have to be tried.
     best = candidates.groupBy("b").agg(F.max_by("a", F.col("n")).alias("a")).select("a", "b")
     tested = verify(best)
@@ -449,6 +451,7 @@ def _classes(docs: DataFrame, p: Params, column: str, send_ids: int, one_task: i
         new = verify(others)
         tested = cut(tested.union(new), "join-tested")
         roots = joined_by(roots, new.where("linked").select("a", "b"))
+    release(spark)
     tries, known = 8, None
     while True:
         if known is None:

@@ -29,7 +29,7 @@ class Params:
     lengths: tuple[int, ...] = (2, 3, 4)
     epochs: int = 6
     rate: float = 0.6
-    chunk: int = 1 << 19
+    chunk: int = 1 << 17
     seed: int = 7
 
 
@@ -192,7 +192,7 @@ def _epoch(table: DataFrame, state, share: float, epoch: int, count: int, p: Par
         yield pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array([x.astype(np.float32).tobytes() for x in own], pa.binary())], ["i", "x"])
 
     found = {r.i: np.frombuffer(r.x, np.float32) for r in table.mapInArrow(run, "i long, x binary").collect()}
-    shared.unpersist()
+    shared.destroy()  # a model of each epoch would stay in the driver's memory
     return tuple(found[i].reshape(x.shape) for i, x in enumerate(state))
 
 

@@ -343,6 +343,7 @@ def learn_all(rows: DataFrame, model: Model, p: Params, chunk: int = 400_000, bl
 
     cells = rows.mapInArrow(shard, "block long, seen long, x binary").repartition("block").sortWithinPartitions("block", "seen", "x")
     found = cells.mapInArrow(add, "block long, x binary").toArrow().sort_by("block")
+    shared.destroy()
     if not found.num_rows:
         return model.network
     flat = np.concatenate([np.frombuffer(x, np.float32) for x in found.column("x").to_pylist()])

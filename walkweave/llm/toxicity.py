@@ -232,6 +232,7 @@ def _held_out(rows: DataFrame, model: Model, parts: list[dict]) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.float64())] * 4, ["y", "n", "best", "x"])
 
     found = rows.mapInArrow(run, "y double, n double, best double, x double").toArrow()
+    shared.destroy()
     return np.stack([found.column(i).to_numpy() for i in range(4)], 1)
 
 
