@@ -116,7 +116,7 @@ def margins(model: Model, texts: list[str]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", p: Params = Params()) -> Model:
     """learn: tells from the column of ids which rows may be learnt from. Of several labels of a document or text the largest counts. Whole texts are used.
-    The sample's features are a table, which one task reads in batches once an epoch; only the model comes to the driver. Without labels of both kinds the model has no margins, and its bias is the log-odds of the share of label 1 (of 1 without labels: nothing is known to be bad)."""
+    The sample's features are a table, which one task reads in batches, once for each epoch; only the margins come to the driver. Without labels of both kinds the model has no margins, and its bias is the log-odds of the share of label 1 (of 1 without labels: nothing is known to be bad)."""
     labelled = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     picked = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
     bounded_batches(docs.sparkSession)
@@ -141,22 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", p: Pa
         share = float(ones / count) if count else 1.0
         if not count or not 0 < share < 1:
             return Model(np.zeros(2, np.float32), math.log((share + 1e-6) / (1 - share + 1e-6)), p.lengths, p.chunk)
-        # p.sample rows at most, mixed once, in one file: a task reads it in this order.
-        table = cut(table.repartition(1).sortWithinPartitions(F.xxhash64("h"), "h"), "quality-mixed").coalesce(1)
-        state = _begin(p)
-        for epoch in range(p.epochs):
-            state = _epoch(table, state, share, epoch, int(count), p)
-    vectors, layer, bias = state
-    return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0] + math.log(share / (1 - share))), p.lengths, p.chunk)
-
-
-def _begin(p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(p.seed)
-    return ((rng.random((p.buckets, p.dim), np.float32) - 0.5) / p.dim).astype(np.float32), np.zeros((2, p.dim), np.float32), np.zeros(2, np.float32)
+        # p.sample rows at most, mixed once, in one file: a task reads it again and again in this order.
+        table = cut(table.repartition(1).sortWithinPartitions(F.xxhash64("h"), "h"), "quality-mixed")
+        margin, bias = _descend(table, share, int(count), p)
+    return Model(margin, bias + math.log(share / (1 - share)), p.lengths, p.chunk)
 
 
 def descend(state, documents, share: float, rate) -> None:
-    """One pass, in place. documents: (label, buckets, counts) of each. rate: tells the step's rate from its number. The labels weigh alike; the bias is moved back to their true shares in the end."""
+    """In place. documents: (label, buckets, counts) of each. rate: tells the step's rate from its number. The labels weigh alike; the bias is moved back to their true shares in the end."""
     vectors, layer, bias = state
     weight = np.array([0.5 / max(1 - share, 1e-3), 0.5 / max(share, 1e-3)], np.float32)
     for done, (y, at, count) in enumerate(documents):
@@ -175,9 +167,8 @@ def descend(state, documents, share: float, rate) -> None:
             vectors[at] -= (part / part.max())[:, None] * back
 
 
-def _epoch(table: DataFrame, state, share: float, epoch: int, count: int, p: Params):
-    """A pass over the table in one task, batch by batch."""
-    shared = table.sparkSession.sparkContext.broadcast(state)
+def _descend(table: DataFrame, share: float, count: int, p: Params) -> tuple[np.ndarray, float]:
+    """All epochs in one task, batch by batch. Only each bucket's margin and the bias come to the driver."""
     steps = p.epochs * count
 
     def documents(batches):
@@ -187,13 +178,18 @@ def _epoch(table: DataFrame, state, share: float, epoch: int, count: int, p: Par
                 yield y, bucket[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
 
     def run(batches):
-        own = tuple(x.copy() for x in shared.value)
-        descend(own, documents(batches), share, lambda done: p.rate * (1 - (epoch * count + done) / steps))
-        yield pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array([x.astype(np.float32).tobytes() for x in own], pa.binary())], ["i", "x"])
-
-    found = {r.i: np.frombuffer(r.x, np.float32) for r in table.mapInArrow(run, "i long, x binary").collect()}
-    shared.destroy()  # a model of each epoch would stay in the driver's memory
-    return tuple(found[i].reshape(x.shape) for i, x in enumerate(state))
+        rng = np.random.default_rng(p.seed)
+        vectors = ((rng.random((p.buckets, p.dim), np.float32) - 0.5) / p.dim).astype(np.float32)
+        layer, bias = np.zeros((2, p.dim), np.float32), np.zeros(2, np.float32)
+        descend((vectors, layer, bias), documents(batches), share, lambda done: p.rate * (1 - done / steps))
+        margin = (vectors @ (layer[1] - layer[0])).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([margin.tobytes()], pa.binary()), pa.array([float(bias[1] - bias[0])])], ["margin", "bias"])
+
+    again = table
+    for _ in range(p.epochs - 1):
+        again = again.union(table)
+    found = again.coalesce(1).mapInArrow(run, "margin binary, bias double").first()
+    return np.frombuffer(found.margin, np.float32).copy(), found.bias
 
 
 def score(docs: DataFrame, model: Model, extra: list[str] | None = None, column: str = "text", name: str = "score") -> DataFrame:
