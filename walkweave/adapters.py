@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walkweave.plans.build import build, walk_pairs
+from walkweave.plans.store import materialise
 from walkweave.schema import EDGES, NODES, BiGraph
 
 
@@ -54,8 +55,8 @@ def _above(key: Column) -> Column:
     return F.when((key % 3 == 2) | (key % 3 == 1), key - 1).otherwise(key - 2)
 
 
-def parts_graph(spark: SparkSession, sf_dir: str) -> BiGraph:
-    """The labelled parts graph. Running sums go along the parts in key order, by blocks of keys: a block's own sum, the sum of the blocks before it (one row each), and within the block."""
+def parts_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled nodes of the parts graph. Running sums go along the parts in key order, by blocks of keys: a block's own sum, the sum of the blocks before it (one row each), and within the block."""
     s = part_segments(spark, sf_dir).withColumnRenamed("p_partkey", "k")
     on_ref = F.col("k") % 3 != 2
     block = F.floor(F.col("k") / 4096)
@@ -78,7 +79,11 @@ def parts_graph(spark: SparkSession, sf_dir: str) -> BiGraph:
     forward = F.col("orient") == "+"
     only = lambda c: F.when(forward, F.col(c))
     nodes = row.withColumns({"node": F.concat_ws("_", "seg_id", "orient"), "seq": F.when(forward, F.col("seq")).otherwise(F.translate(F.reverse("seq"), "ACGT", "TGCA")), "direction": F.when(forward, 1).otherwise(-1)} | {c: only(c) for c in ("parent", "depth", "tin", "tout", "chain", "chain_pos", "plen")})
-    walks = order_walks(spark, sf_dir)
+    return nodes.select([F.col(f.name).cast(f.dataType) for f in NODES])
+
+
+def parts_edges(spark: SparkSession, sf_dir: str, walks: DataFrame) -> DataFrame:
+    """Its labelled edges: those that walks take, and the tree's."""
     taken = walk_pairs(walks, "graph_id").groupBy("graph_id", canonical(F.col("u"), F.col("v")).alias("e")).agg(F.count(F.lit(1)).alias("weight"))
     tree = part_segments(spark, sf_dir).where("p_partkey > 0").select("graph_id", canonical(F.concat(_above(F.col("p_partkey")).cast("string"), F.lit("_+")), F.concat(F.col("seg_id"), F.lit("_+"))).alias("e"), F.lit(0).cast("long").alias("weight"), F.lit(True).alias("in_tree"))
     e = taken.withColumn("in_tree", F.lit(False)).union(tree).groupBy("graph_id", "e").agg(F.sum("weight").alias("weight"), F.max("in_tree").alias("in_tree"))
@@ -93,7 +98,16 @@ def parts_graph(spark: SparkSession, sf_dir: str) -> BiGraph:
     e = e.withColumn("is_back", ~F.col("in_tree") & F.col("back"))
     branch = F.when(F.col("is_back"), F.when(F.col("lca") > 0, _above(F.col("lca")))).otherwise(F.col("lca"))
     edges = e.withColumn("branch_point", F.concat(branch.cast("string"), F.lit("_+")))
-    return BiGraph(nodes.select([F.col(f.name).cast(f.dataType) for f in NODES]), edges.select([F.col(f.name).cast(f.dataType) for f in EDGES]), walks)
+    return edges.select([F.col(f.name).cast(f.dataType) for f in EDGES])
+
+
+def parts_graph(spark: SparkSession, sf_dir: str, with_walks: bool = False) -> BiGraph:
+    """The labelled parts graph. Operators read nodes and edges several times, so both are written once and the lines of orders are read once.
+    with_walks: the walks are written too, for operators that read them again."""
+    walks = order_walks(spark, sf_dir)
+    if with_walks:
+        walks = materialise(walks, "walks")
+    return BiGraph(materialise(parts_nodes(spark, sf_dir), "nodes"), materialise(parts_edges(spark, sf_dir, walks), "edges"), walks)
 
 
 def event_walks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from walkweave.functions.columns import node_complement
@@ -66,13 +66,12 @@ def node_partition(nodes: DataFrame, bubbles: DataFrame, width: int = 1 << 14) -
 
 def bubble_variants(variants: DataFrame, partition: DataFrame) -> DataFrame:
     """bubble, idx, within: variants with both ends in the bubble are within it; those with one end only cross it, unless they are within another bubble."""
-    ends = variants.select("idx", F.explode(F.array("u", "v")).alias("node")).distinct().join(partition, "node")
-    # Both ends may be one node.
-    need = variants.select("idx", F.when(F.col("u") == F.col("v"), 1).otherwise(2).alias("need"))
-    hits = ends.groupBy("idx", "bubble").agg(F.count_distinct("node").alias("n")).join(need, "idx")
-    within = hits.where("n = need").select("bubble", "idx", F.lit(True).alias("within"))
-    crossing = hits.where("n < need").join(within.select("idx").distinct(), "idx", "left_anti").select("bubble", "idx", F.lit(False).alias("within"))
-    return within.union(crossing)
+    need = F.when(F.col("u") == F.col("v"), 1).otherwise(2)  # both ends may be one node
+    ends = variants.select("idx", need.alias("need"), F.explode(F.array_distinct(F.array("u", "v"))).alias("node")).join(partition, "node")
+    hits = ends.groupBy("idx", "bubble").agg(F.count_distinct("node").alias("n"), F.max("need").alias("need")).withColumn("within", F.col("n") == F.col("need"))
+    # A variant has few bubbles, so its window is short.
+    hits = hits.withColumn("inside", F.max("within").over(Window.partitionBy("idx")))
+    return hits.where("within or not inside").select("bubble", "idx", "within")
 
 
 def bubble_summary(bubbles: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def gfa_tokenize(spark, sf_dir):
 @query("SELECT idx, u, v, weight, in_tree FROM edge", EDGE)
 def edge_weights(spark, sf_dir):
     """The weights are counted anew over the walks, against the graph's edges."""
-    graph = A.parts_graph(spark, sf_dir)
+    graph = A.parts_graph(spark, sf_dir, True)
     return B.edge_weights(graph.edges, graph.walks).select("idx", "u", "v", "weight", "in_tree")
 
 
@@ -142,12 +142,12 @@ def terminal_sources_sinks(spark, sf_dir):
 
 @query("SELECT k || '_+' AS node, position FROM node WHERE on_ref", NEEDS[0])
 def ref_positions(spark, sf_dir):
-    return A.parts_graph(spark, sf_dir).nodes.where("on_ref and orient = '+'").select("node", "position")
+    return A.parts_nodes(spark, sf_dir).where("on_ref and orient = '+'").select("node", "position")
 
 
 @query("SELECT k || '_+' AS node, distance FROM node", NEEDS[0])
 def distance_from_ref(spark, sf_dir):
-    return A.parts_graph(spark, sf_dir).nodes.where("orient = '+'").select("node", "distance")
+    return A.parts_nodes(spark, sf_dir).where("orient = '+'").select("node", "distance")
 
 
 @query("SELECT d.k || '_+' AS descendant, a.k || '_+' AS node, (SELECT count(*) FROM node x WHERE x.k BETWEEN a.k AND d.k AND (x.on_ref OR x.k = d.k)) - 1 AS steps FROM node d JOIN node a ON a.k BETWEEN greatest(d.k - 12, 0) AND d.k AND (a.on_ref OR a.k = d.k)", NEEDS[0])
@@ -163,7 +163,7 @@ def tree_ancestors(spark, sf_dir):
 
 @query("SELECT idx, b || '_+' AS branch_point, is_back FROM branch", [*EDGE, "lca", "back", "branch"])
 def lca(spark, sf_dir):
-    return A.parts_graph(spark, sf_dir).edges.where("not in_tree").select("idx", "branch_point", "is_back")
+    return A.parts_edges(spark, sf_dir, A.order_walks(spark, sf_dir)).where("not in_tree").select("idx", "branch_point", "is_back")
 
 
 @query("SELECT idx, vtype = 'DUP' AS back, vtype = 'DEL' AS forward, coalesce(vtype, '') IN ('', 'INS', 'REP', 'SNP', 'MNP') AS crossing FROM typed", TYPED)
@@ -219,18 +219,18 @@ def sorted_variants(spark, sf_dir):
     TYPED,
 )
 def genotype_counts(spark, sf_dir):
-    return G.genotype(A.parts_graph(spark, sf_dir), strict=False).select(F.col("walk_idx").alias("walk"), "idx", "kind", "n")
+    return G.genotype(A.parts_graph(spark, sf_dir, True), strict=False).select(F.col("walk_idx").alias("walk"), "idx", "kind", "n")
 
 
 @query("SELECT cust AS hap, e.idx, count(*) AS n FROM canon c JOIN edge e ON c.u = e.u AND c.v = e.v WHERE NOT e.in_tree GROUP BY ALL", EDGE)
 def haplotype_counts(spark, sf_dir):
-    g = G.by_haplotype(G.genotype(A.parts_graph(spark, sf_dir), strict=False)).where("kind = 'alt'")
+    g = G.by_haplotype(G.genotype(A.parts_graph(spark, sf_dir, True), strict=False)).where("kind = 'alt'")
     return g.select(F.col("hap").cast("long").alias("hap"), "idx", "n")
 
 
 @query("SELECT c.w AS walk, min(least(a.position, b.position)) AS low, max(greatest(a.position, b.position)) AS high FROM pair c JOIN node a ON a.k = uk JOIN node b ON b.k = vk GROUP BY c.w", [*NEEDS[0], "step", "pair"])
 def linear_coverage(spark, sf_dir):
-    return G.linear_coverage(A.parts_graph(spark, sf_dir), strict=False).select(F.col("walk_idx").alias("walk"), "low", "high")
+    return G.linear_coverage(A.parts_graph(spark, sf_dir, True), strict=False).select(F.col("walk_idx").alias("walk"), "low", "high")
 
 
 @query("SELECT DISTINCT idx FROM typed WHERE least(u_position, v_position) < 9000 AND greatest(u_position, v_position) >= 3000", TYPED)
