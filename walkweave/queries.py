@@ -40,7 +40,7 @@ CTES = {
     "var": "var AS (SELECT *, CASE WHEN du = 1 THEN greatest(v_plen - b_plen - CASE WHEN dv = -1 THEN 0 ELSE v_len END, 0) ELSE greatest(u_plen - b_plen - u_len, 0) END AS ref_len, CASE WHEN du = 1 THEN greatest(u_plen - b_plen, 0) ELSE greatest(v_plen - b_plen - CASE WHEN dv = -1 THEN 0 ELSE v_len END, 0) END AS alt_len FROM lens)",
     "typed": "typed AS (SELECT *, CASE WHEN du <> dv THEN 'INV' WHEN is_back THEN 'DUP' WHEN b = pu AND du = 1 THEN 'DEL' WHEN ref_len = 0 THEN 'INS' WHEN alt_len > 0 AND ref_len <> alt_len THEN 'REP' WHEN ref_len = 1 AND alt_len = 1 THEN 'SNP' WHEN ref_len = alt_len THEN 'MNP' END AS vtype, (u_position + 1 - CASE WHEN (ref_len = 0 OR alt_len = 0) AND du = 1 AND v_on_ref THEN 1 ELSE 0 END)::BIGINT AS pos, pu || CASE du WHEN 1 THEN '_+' ELSE '_-' END AS pun, pv || CASE dv WHEN 1 THEN '_+' ELSE '_-' END AS pvn FROM var)",
     "region": "region AS (SELECT n_nationkey AS r, n_nationkey * 900 AS s, n_nationkey * 900 + 500 AS e FROM nation)",
-    "bubble": "bubble AS (SELECT p_brand AS bubble, min(n.position) AS s, max(n.position) AS e, min(p_size % 4) AS level FROM part JOIN node n ON n.k = p_partkey WHERE p_partkey % 17 = 0 GROUP BY p_brand)",
+    "bubble": "bubble AS (SELECT p_brand || '/' || (p_partkey // 64) AS bubble, min(n.position) AS s, max(n.position) AS e, min(p_size % 4) AS level FROM part JOIN node n ON n.k = p_partkey GROUP BY ALL)",
     "estep": "estep AS (SELECT user_id AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_type) AS i, event_type || CASE WHEN event_id % 4 = 0 THEN '_-' ELSE '_+' END AS n FROM events)",
     "epair": "epair AS (SELECT * FROM (SELECT w, n AS u, lead(n) OVER (PARTITION BY w ORDER BY i) AS v FROM estep) WHERE v IS NOT NULL UNION ALL SELECT -1, t || '_+', lead(t) OVER (ORDER BY t) || '_+' FROM (SELECT DISTINCT event_type AS t FROM events) QUALIFY lead(t) OVER (ORDER BY t) IS NOT NULL)",
     "ecanon": "ecanon AS (SELECT w, CASE WHEN u < cu OR (u = cu AND v <= cv) THEN u ELSE cu END AS u, CASE WHEN u < cu OR (u = cu AND v <= cv) THEN v ELSE cv END AS v FROM (SELECT w, u, v, left(v, length(v) - 1) || CASE right(v, 1) WHEN '+' THEN '-' ELSE '+' END AS cu, left(u, length(u) - 1) || CASE right(u, 1) WHEN '+' THEN '-' ELSE '+' END AS cv FROM epair))",
@@ -73,10 +73,15 @@ def _regions(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     return n.select(start.alias("start"), (start + 500).alias("end"))
 
 
-def _bubbles(spark: SparkSession, sf_dir: str, graph) -> DataFrame:
-    """A bubble per brand: the range of every seventeenth part of it."""
-    p = A.table(spark, sf_dir, "part").where("p_partkey % 17 = 0").select(F.col("p_partkey").cast("string").alias("seg_id"), F.col("p_brand").alias("bubble"), (F.col("p_size") % 4).alias("level"))
-    nodes = graph.nodes.where("orient = '+'").select("seg_id", "position")
+def _run_of_brand(keys: int):
+    """A name per brand and run of so many part keys."""
+    return F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / keys).cast("string"))
+
+
+def _bubbles(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    """A bubble per brand and run of 64 part keys: the range of its parts."""
+    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("seg_id"), _run_of_brand(64).alias("bubble"), (F.col("p_size") % 4).alias("level"))
+    nodes = nodes.where("orient = '+'").select("seg_id", "position")
     return p.join(nodes, "seg_id").groupBy("bubble").agg(F.min("position").alias("start"), F.max("position").alias("end"), F.min("level").alias("level"))
 
 
@@ -153,12 +158,12 @@ def distance_from_ref(spark, sf_dir):
 @query("SELECT d.k || '_+' AS descendant, a.k || '_+' AS node, (SELECT count(*) FROM node x WHERE x.k BETWEEN a.k AND d.k AND (x.on_ref OR x.k = d.k)) - 1 AS steps FROM node d JOIN node a ON a.k BETWEEN greatest(d.k - 12, 0) AND d.k AND (a.on_ref OR a.k = d.k)", NEEDS[0])
 def tree_ancestors(spark, sf_dir):
     """From each part up to the part twelve keys before it (the reference part above, if it hangs)."""
-    g = A.parts_graph(spark, sf_dir)
+    nodes = A.parts_nodes(spark, sf_dir)
     k = F.col("seg_id").cast("long")
     top = F.greatest(k - 12, F.lit(0))
     top = F.when((top % 3 == 2) & (top < k), top - 1).otherwise(top)
-    pairs = g.nodes.where("orient = '+'").select("graph_id", F.concat(top.cast("string"), F.lit("_+")).alias("ancestor"), F.col("node").alias("descendant"))
-    return V.tree_ancestors(g.nodes, pairs).where(F.expr("cast(left(node, length(node) - 2) as long) >= greatest(cast(left(descendant, length(descendant) - 2) as long) - 12, 0)")).select("descendant", "node", F.col("steps").cast("long").alias("steps"))
+    pairs = nodes.where("orient = '+'").select("graph_id", F.concat(top.cast("string"), F.lit("_+")).alias("ancestor"), F.col("node").alias("descendant"))
+    return V.tree_ancestors(nodes, pairs).where(F.expr("cast(left(node, length(node) - 2) as long) >= greatest(cast(left(descendant, length(descendant) - 2) as long) - 12, 0)")).select("descendant", "node", F.col("steps").cast("long").alias("steps"))
 
 
 @query("SELECT idx, b || '_+' AS branch_point, is_back FROM branch", [*EDGE, "lca", "back", "branch"])
@@ -260,8 +265,8 @@ def summary_by_region(spark, sf_dir):
 
 @query("SELECT k || o AS node, bubble FROM node, (VALUES ('_+'), ('_-')) t(o), bubble WHERE position BETWEEN s AND e", [*NEEDS[0], "bubble"])
 def node_partition(spark, sf_dir):
-    g = A.parts_graph(spark, sf_dir)
-    return R.node_partition(g.nodes, _bubbles(spark, sf_dir, g))
+    nodes = A.parts_nodes(spark, sf_dir)
+    return R.node_partition(nodes, _bubbles(spark, sf_dir, nodes), 1 << 10)
 
 
 def _brand_partition(spark, sf_dir) -> DataFrame:
@@ -294,13 +299,13 @@ def bubble_summary(spark, sf_dir):
 
 @query("SELECT level, count(*) AS count FROM bubble GROUP BY level", [*NEEDS[0], "bubble"])
 def level_summary(spark, sf_dir):
-    return R.level_summary(_bubbles(spark, sf_dir, A.parts_graph(spark, sf_dir)))
+    return R.level_summary(_bubbles(spark, sf_dir, A.parts_nodes(spark, sf_dir)))
 
 
-@query("SELECT bubble, level, s AS pos, a.n FROM bubble LEFT JOIN (SELECT p_brand AS brand, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY p_brand) a ON a.brand = bubble WHERE level = 0 AND s BETWEEN 0 AND 100000", [*NEEDS[0], "bubble"])
+@query("SELECT bubble, level, s AS pos, a.n FROM bubble LEFT JOIN (SELECT p_brand || '/' || (p_partkey // 128) AS brand, count(*) AS n FROM part GROUP BY ALL) a ON a.brand = bubble WHERE level = 0 AND s BETWEEN 0 AND 100000", [*NEEDS[0], "bubble"])
 def combined_info(spark, sf_dir):
-    vcf = _bubbles(spark, sf_dir, A.parts_graph(spark, sf_dir)).select("bubble", F.col("start").alias("pos"), F.create_map(F.lit("Level"), F.col("level").cast("string")).alias("info"))
-    snarls = A.table(spark, sf_dir, "part").where("p_size % 2 = 0").groupBy(F.col("p_brand").alias("bubble")).agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(None).cast("int"))
+    vcf = _bubbles(spark, sf_dir, A.parts_nodes(spark, sf_dir)).select("bubble", F.col("start").alias("pos"), F.create_map(F.lit("Level"), F.col("level").cast("string")).alias("info"))
+    snarls = A.table(spark, sf_dir, "part").groupBy(_run_of_brand(128).alias("bubble")).agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(None).cast("int"))
     return R.combined_info(vcf, snarls, 0, 0, 100000).select("bubble", "level", "pos", "n")
 
 
