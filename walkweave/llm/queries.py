@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, order_minhash, packing, quality, recurrent_lm, substring_dedup, toxicity, url_lists
+from . import divergence, exact_dedup, language_id, mixing, ngram_join, order_minhash, packing, quality, recurrent_lm, substring_dedup, toxicity, url_lists
 from .common import documents, fold
 
 
@@ -171,9 +171,41 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 """
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, not_in_fold(4, 2))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+x AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM x GROUP BY ALL),
+k AS (SELECT lang, term, count(*) AS n FROM x GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+u AS (SELECT c.lang, c.source, sum(c.n) AS total FROM c JOIN k ON c.lang = k.lang AND c.term = k.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT k.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(u.total, 0) + 5 * l.v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v)::HUGEINT AS q
+      FROM k JOIN l ON k.lang = l.lang JOIN g ON k.lang = g.lang LEFT JOIN c ON k.lang = c.lang AND g.source = c.source AND k.term = c.term LEFT JOIN u ON k.lang = u.lang AND g.source = u.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+             LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM s WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op12_source_divergence": OP12_SQL}
