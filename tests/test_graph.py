@@ -18,26 +18,60 @@ from walkweave.sinks import files as K
 from walkweave.sources import gfa, info
 from walkweave.streaming.weights import streaming_edge_weights
 
+# Fixed values of the fixture: its segments, its links, how often each walk is there, and the variants that are known of it. Segments have the sequence `*`, so alleles are written in stars.
+SEGMENTS = (
+    "SKIC2",
+    "DXO",
+    "STK19",
+    "C4A",
+    "C4B",
+    "CYP21A2",
+    "TNXB",
+    "ATF6B",
+)
+LINKS = (
+    ("SKIC2", "+", "DXO", "-"),
+    ("DXO", "-", "STK19", "+"),
+    ("STK19", "+", "C4A", "+"),
+    ("STK19", "+", "C4B", "+"),
+    ("STK19", "+", "C4B", "-"),
+    ("C4A", "+", "C4A", "+"),
+    ("C4A", "+", "C4B", "+"),
+    ("C4A", "+", "CYP21A2", "+"),
+    ("C4A", "-", "CYP21A2", "+"),
+    ("C4A", "-", "C4B", "-"),
+    ("C4B", "+", "C4B", "+"),
+    ("C4B", "+", "CYP21A2", "+"),
+    ("C4B", "-", "CYP21A2", "-"),
+    ("CYP21A2", "+", "TNXB", "-"),
+    ("TNXB", "-", "ATF6B", "-"),
+)
 WALKS = (
-    (68, ">SKIC2<DXO>STK19>C4A>C4B>CYP21A2<TNXB<ATF6B"), (13, ">SKIC2<DXO>STK19>C4A>CYP21A2<TNXB<ATF6B"), (10, ">SKIC2<DXO>STK19>C4A>C4A>CYP21A2<TNXB<ATF6B"), (3, ">SKIC2<DXO>STK19>C4A>C4B>C4B>CYP21A2<TNXB<ATF6B"),
-    (2, ">SKIC2<DXO>STK19>C4B>C4A>CYP21A2>C4B>CYP21A2<TNXB<ATF6B"), (1, ">SKIC2<DXO>STK19>C4A>CYP21A2>C4B>CYP21A2<TNXB<ATF6B"), (1, ">SKIC2<DXO>STK19>C4A>C4B>CYP21A2>C4B>CYP21A2<TNXB<ATF6B"),
-)
-LINKS = "SKIC2+DXO- DXO-STK19+ STK19+C4A+ STK19+C4B+ STK19+C4B- C4A+C4A+ C4A+C4B+ C4A+CYP21A2+ C4A-CYP21A2+ C4A-C4B- C4B+C4B+ C4B+CYP21A2+ C4B-CYP21A2- CYP21A2+TNXB- TNXB-ATF6B-"
+    (68, ">SKIC2<DXO>STK19>C4A>C4B>CYP21A2<TNXB<ATF6B"),
+    (13, ">SKIC2<DXO>STK19>C4A>CYP21A2<TNXB<ATF6B"),
+    (10, ">SKIC2<DXO>STK19>C4A>C4A>CYP21A2<TNXB<ATF6B"),
+    (3, ">SKIC2<DXO>STK19>C4A>C4B>C4B>CYP21A2<TNXB<ATF6B"),
+    (2, ">SKIC2<DXO>STK19>C4B>C4A>CYP21A2>C4B>CYP21A2<TNXB<ATF6B"),
+    (1, ">SKIC2<DXO>STK19>C4A>CYP21A2>C4B>CYP21A2<TNXB<ATF6B"),
+    (1, ">SKIC2<DXO>STK19>C4A>C4B>CYP21A2>C4B>CYP21A2<TNXB<ATF6B"),
+)
 #: POS, ID, VT, REF, ALT, NR, RC, AC, AN, PV, motif
 EXPECTED = (
-    "3 >STK19>C4B DEL ** * . 72 2 74 3,5 *", "3 >STK19<C4B INV *** * . . 0 . 3,5 .", "4 >C4A>C4A DUP * ** . 96 10 106 4,4 *", "4 >C4A>CYP21A2 DEL ** * . 76 26 102 4,6 *",
-    "5 <C4A>CYP21A2 INV . ** . . 0 . 4,6 .", "5 >C4B>C4A DUP * *** . 96 2 98 5,4 *", "5 >C4B>C4B DUP * ** . 72 3 75 5,5 *", "6 >CYP21A2>C4B DUP * *** . 72 4 76 6,5 *",
-)
+    "3 >STK19>C4B DEL ** * . 72 2 74 3,5 *",
+    "3 >STK19<C4B INV *** * . . 0 . 3,5 .",
+    "4 >C4A>C4A DUP * ** . 96 10 106 4,4 *",
+    "4 >C4A>CYP21A2 DEL ** * . 76 26 102 4,6 *",
+    "5 <C4A>CYP21A2 INV . ** . . 0 . 4,6 .",
+    "5 >C4B>C4A DUP * *** . 96 2 98 5,4 *",
+    "5 >C4B>C4B DUP * ** . 72 3 75 5,5 *",
+    "6 >CYP21A2>C4B DUP * *** . 72 4 76 6,5 *",
+)
 
 
 @pytest.fixture(scope="module")
 def c4a_file(tmp_path_factory):
-    import re
-
-    lines = [f"S\t{s}\t*\tLN:i:1" for s in "SKIC2 DXO STK19 C4A C4B CYP21A2 TNXB ATF6B".split()]
-    for link in LINKS.split():
-        a, ao, b, bo = re.fullmatch(r"(\w+)([+-])(\w+)([+-])", link).groups()
-        lines.append(f"L\t{a}\t{ao}\t{b}\t{bo}\t0M")
+    lines = [f"S\t{s}\t*\tLN:i:1" for s in SEGMENTS]
+    lines += [f"L\t{a}\t{ao}\t{b}\t{bo}\t0M" for a, ao, b, bo in LINKS]
     walks = [w for n, w in WALKS for _ in range(n)]
     names = [("GRCh38", 0), ("CHM13", 0)] + [(f"HG{i // 2}", 1 + i % 2) for i in range(len(walks) - 2)]
     lines += [f"W\t{s}\t{h}\tchr6\t*\t*\t{w}\ttag" for (s, h), w in zip(names, walks, strict=True)] + ["H\tVN:Z:1.1"]
@@ -297,6 +331,25 @@ def test_bubbles(c4a, spark):
     assert s["p"].within_count == 5 and s["p"].crossing_count == 3 == s["q"].total_count
 
 
+def test_bubbles_of_a_called_vcf(c4a, spark, tmp_path):
+    """The variants that a VCF names are those of the graph, and so are their bubbles."""
+    K.write_vcf(c4a, str(tmp_path / "v"), "chr6", False, exclude_terminus=False)
+    part = spark.createDataFrame([(f"{s}_{o}", b) for b, segs in (("p", ("STK19", "C4A", "C4B")), ("q", ("CYP21A2", "+_terminus"))) for s in segs for o in "+-"], "node string, bubble string")
+    got = info.variants_of_bubbles(spark, str(tmp_path / "v"), c4a, part)
+    want = R.bubble_variants(V.variants(c4a, False), part)
+    assert sorted(map(tuple, got.select("bubble", "idx", "within").collect())) == sorted(map(tuple, want.collect()))
+    (tmp_path / "w.vcf").write_text("#CHROM\tPOS\tID\nchr6\t1\t>C4A>nowhere\n")
+    with pytest.raises(Exception, match="no such edge"):
+        info.variants_of_bubbles(spark, str(tmp_path / "w.vcf"), c4a, part).collect()
+
+
+def test_counts_and_orders(c4a):
+    assert B.graph_counts(c4a).first().asDict() == {"graph_id": "c4a", "binodes": 10, "biedges": 17}
+    placed = B.nodes_by_position(c4a.nodes).orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(10))
+    assert [r.position for r in placed] == sorted(r.position for r in placed)
+
+
 def test_simplify(spark, tmp_path):
     lines = ["S\ta\tAA", "S\tb\tC", "S\tc\tG", "S\td\tTT", "S\tx\tGATTACA" + "A" * 30, "S\ty\tC", "S\ttip\tT"]
     for u, v in ("ab", "bc", "cd", "ax", "xc", "by", "yd"):

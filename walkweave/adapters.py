@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from walkweave.functions.columns import node_complement
+from walkweave.operators.trees import branch_points, tour
 from walkweave.plans.build import build, walk_pairs
 from walkweave.plans.store import materialise
 from walkweave.schema import EDGES, NODES, BiGraph
@@ -82,6 +84,37 @@ def parts_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select([F.col(f.name).cast(f.dataType) for f in NODES])
 
 
+def parts_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id, node, parent, k, len, ref_len: the parts graph's tree as what hangs on what, without labels."""
+    s, k = part_segments(spark, sf_dir), F.col("p_partkey")
+    parent = F.when(k > 0, F.concat(_above(k).cast("string"), F.lit("_+")))
+    return s.select("graph_id", F.concat("seg_id", F.lit("_+")).alias("node"), parent.alias("parent"), k.alias("k"), F.length("seq").alias("len"), F.when(k % 3 != 2, F.length("seq")).otherwise(0).alias("ref_len"))
+
+
+def parts_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree's labels by its tour: graph_id, node, parent, depth, tin, tout, position, distance, plen. Places on the reference and distances from it are sums along the path from the root."""
+    return tour(parts_tree(spark, sf_dir), {"position": "ref_len", "distance": F.col("len") - F.col("ref_len"), "plen": "len"}, ["k"])
+
+
+def nearby_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id, node, parent, k, len: a tree that only the orders tell. A part hangs on the part with a smaller key that stands next to it most often on the walks, of equally frequent ones on the one with the largest key; parts without one are roots."""
+    key = lambda c: F.substring(c, F.lit(1), F.length(c) - 2).cast("long")
+    x, y = key(F.col("u")), key(F.col("v"))
+    pairs = walk_pairs(order_walks(spark, sf_dir), "graph_id").where(x != y).groupBy(F.least(x, y).alias("a"), F.greatest(x, y).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    above = pairs.groupBy("k").agg(F.max(F.struct("n", "a"))["a"].alias("a"))
+    s = part_segments(spark, sf_dir).withColumnRenamed("p_partkey", "k")
+    name = lambda c: F.concat(F.col(c).cast("string"), F.lit("_+"))
+    return s.join(above, "k", "left").select("graph_id", name("k").alias("node"), name("a").alias("parent"), "k", F.length("seq").alias("len"))
+
+
+def nearby_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id, a, b: parts that stand next to each other on a walk, each pair once, the smaller key first."""
+    key = lambda c: F.substring(c, F.lit(1), F.length(c) - 2).cast("long")
+    x, y = key(F.col("u")), key(F.col("v"))
+    name = lambda c: F.concat(c.cast("string"), F.lit("_+"))
+    return walk_pairs(order_walks(spark, sf_dir), "graph_id").select("graph_id", name(F.least(x, y)).alias("a"), name(F.greatest(x, y)).alias("b")).distinct()
+
+
 def parts_edges(spark: SparkSession, sf_dir: str, walks: DataFrame) -> DataFrame:
     """Its labelled edges: those that walks take, and the tree's."""
     taken = walk_pairs(walks, "graph_id").groupBy("graph_id", canonical(F.col("u"), F.col("v")).alias("e")).agg(F.count(F.lit(1)).alias("weight"))
@@ -110,6 +143,16 @@ def parts_graph(spark: SparkSession, sf_dir: str, with_walks: bool = False) -> B
     return BiGraph(materialise(parts_nodes(spark, sf_dir), "nodes"), materialise(parts_edges(spark, sf_dir, walks), "edges"), walks)
 
 
+def toured_parts_graph(spark: SparkSession, sf_dir: str) -> BiGraph:
+    """The parts graph with the labels that the tour of its tree gives, and branch points by range minima, in place of the closed forms."""
+    graph, labels = parts_graph(spark, sf_dir), parts_labels(spark, sf_dir)
+    both = labels.union(labels.withColumn("node", node_complement("node")))
+    nodes = graph.nodes.drop("position", "right_position", "distance", "plen").join(both.select("graph_id", "node", "position", F.col("position").alias("right_position"), "distance", "plen"), ["graph_id", "node"]).select(graph.nodes.columns)
+    points = branch_points(labels, graph.edges.where("not in_tree"))
+    edges = graph.edges.drop("branch_point", "is_back").join(points, ["graph_id", "idx"], "left").withColumn("is_back", F.coalesce("is_back", F.lit(False))).select(graph.edges.columns)
+    return graph.but(nodes=nodes, edges=edges)
+
+
 def event_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A walk per user; every fourth event is read backward."""
     e = table(spark, sf_dir, "events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from walkweave.functions.columns import node_complement
@@ -25,6 +25,38 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, width: int = 1
     return joined.select("p.*", *[f"s.{c}" for c in intervals.columns if c not in points.columns]).drop("bin")
 
 
+#: Levels of the tree of bins, and how many bins make one of the level above.
+LEVELS, FAN = 4, 16
+
+
+def bins_of(start: Column, last: Column, width: int) -> Column:
+    """An array of (level, bin) that make up start to last: bins of `width` letters at level 0, FAN times as wide at each level above. Of every level below the top, at most 2 * FAN - 2, and each letter's bins are in one of them."""
+    first, end = F.floor(start / width), F.floor(last / width) + 1  # bins of level 0, the end left out
+    low = lambda l: F.ceil(first / FAN**l)
+    high = lambda l: F.floor(end / FAN**l)
+    some = lambda l, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda x: F.struct(F.lit(l).alias("level"), x.cast("long").alias("bin")))).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+    out = []
+    for l in range(LEVELS):  # noqa: E741
+        if l + 1 == LEVELS:
+            out.append(some(l, low(l), high(l)))
+            continue
+        above = low(l + 1) < high(l + 1)  # what the level above takes is left out here
+        out += [some(l, low(l), F.when(above, low(l + 1) * FAN).otherwise(high(l))), some(l, F.when(above, high(l + 1) * FAN).otherwise(high(l)), high(l))]
+    return F.concat(*out)
+
+
+def tree_range_join(points: DataFrame, intervals: DataFrame, at: str, width: int = 1 << 10, closed: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points with start <= at < end (<= if closed), as range_join gives them, for intervals of any length. An interval stands in the bins that make it up, a few of each level whatever its length; a point stands in one bin of each level.
+    Each pair meets once, and only at level 0 may a point that is met lie outside. Coordinates beyond the top level's bins make more of those."""
+    last = F.col("end") if closed else F.col("end") - 1
+    spread = intervals.where(F.col("start") <= last).withColumn("__bin", F.explode(bins_of(F.col("start"), last, width)))
+    levels = F.array(*[F.struct(F.lit(l).alias("level"), F.floor(F.col(at) / (width * FAN**l)).cast("long").alias("bin")) for l in range(LEVELS)])  # noqa: E741
+    p, s = points.withColumn("__bin", F.explode(levels)).alias("p"), spread.alias("s")
+    inside = (F.col(f"p.{at}") >= F.col("s.start")) & ((F.col(f"p.{at}") <= F.col("s.end")) if closed else (F.col(f"p.{at}") < F.col("s.end")))
+    on = reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"s.{k}") for k in (*keys, "__bin.level", "__bin.bin")], inside)
+    return p.join(s, on).select("p.*", *[f"s.{c}" for c in intervals.columns if c not in points.columns]).drop("__bin")
+
+
 def without_termini(variants: DataFrame) -> DataFrame:
     bad = [F.col(c).isin(*TERMINAL_NODES) for c in ("u", "v", "branch_point")]
     return variants.where(~(bad[0] | bad[1] | bad[2]))
@@ -58,9 +90,9 @@ def bubbles_with_positions(bubbles: DataFrame, positions: DataFrame) -> DataFram
     return both.select(*bubbles.columns, F.least("a_position", "b_position").alias("start"), F.greatest("a_position", "b_position").alias("end"))
 
 
-def node_partition(nodes: DataFrame, bubbles: DataFrame, width: int = 1 << 14) -> DataFrame:
+def node_partition(nodes: DataFrame, bubbles: DataFrame, width: int = 1 << 10) -> DataFrame:
     """node, bubble: nodes whose position lies in the bubble, both ends included."""
-    found = range_join(nodes.select("node", "position"), bubbles.select("bubble", "start", "end"), "position", width, closed=True)
+    found = tree_range_join(nodes.select("node", "position"), bubbles.select("bubble", "start", "end"), "position", width, closed=True)
     return found.select("node", "bubble")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walkweave.functions.columns import is_terminal_node, nearly_identical, node_complement, repeat_motif, sequence_complement
+from walkweave.operators.ranks import global_rank
 from walkweave.schema import BiGraph
 
 #: Chains are cut into blocks of so many nodes for joining paths with nodes, so a long chain is not one join key.
@@ -148,17 +149,6 @@ def interval_variants(variants: DataFrame, start: int, end: int, strict: bool =
     return variants.where(inside & ((~is_terminal_node("u") & ~is_terminal_node("v")) if strict else ends))
 
 
-def tree_ancestors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs: graph_id, ancestor, descendant. Adds node, steps: the tree path between them, both included, from the descendant up.
-
-    A node lies on it if the descendant's number lies in its range and it isn't above the ancestor. The range join goes by depth: one row per step."""
-    n = nodes.where("tin is not null").select("graph_id", "node", "depth", "tin", "tout")
-    p = pairs.join(n.select("graph_id", F.col("node").alias("descendant"), F.col("tin").alias("at"), F.col("depth").alias("low")), ["graph_id", "descendant"])
-    p = p.join(n.select("graph_id", F.col("node").alias("ancestor"), F.col("depth").alias("high")), ["graph_id", "ancestor"])
-    p = p.withColumn("depth", F.explode(F.sequence("high", "low")))
-    return p.join(n, ["graph_id", "depth"]).where("at between tin and tout").select("graph_id", "ancestor", "descendant", "node", (F.col("low") - F.col("depth")).alias("steps"))
-
-
 def with_motif(graph: BiGraph, variants: DataFrame) -> DataFrame:
     """variants with ref and alt. Adds motif: the repeated unit of an insertion or deletion that also stands right before or after it; null otherwise.
 
@@ -254,5 +244,4 @@ def nearly_identical_alleles(variants: DataFrame) -> DataFrame:
 
 def rank_of(variants: DataFrame, name: str = "rank") -> DataFrame:
     """Each variant's place in the order of sorted_variants; graphs are ranked on their own."""
-    order = Window.partitionBy("graph_id").orderBy("pos", "u_distance", "v_distance", "pu", "pv")
-    return variants.withColumn("pos", vcf_position()).withColumn(name, F.row_number().over(order) - 1)
+    return global_rank(variants.withColumn("pos", vcf_position()), ["pos", "u_distance", "v_distance", "pu", "pv"], name, "graph_id")

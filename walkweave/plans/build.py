@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walkweave.functions.columns import edge_complement
+from walkweave.operators.ranks import global_rank
 from walkweave.plans import kernel
 from walkweave.plans.store import materialise
 from walkweave.schema import BiGraph
@@ -120,6 +121,19 @@ def terminal_sources_sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return sources.union(sinks)
 
 
+def graph_counts(graph: BiGraph) -> DataFrame:
+    """graph_id, binodes, biedges: segments and links of each graph, each counted once for both readings, termini and their links included."""
+    nodes = graph.nodes.groupBy("graph_id").agg(F.count_if(F.col("orient") == "+").alias("binodes"))
+    edges = graph.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("biedges"))
+    return nodes.join(edges, "graph_id", "left").withColumn("biedges", F.coalesce("biedges", F.lit(0).cast("long")))
+
+
+def nodes_by_position(nodes: DataFrame) -> DataFrame:
+    """The forward nodes of each graph with their place along the reference, from 0: by position, those on the reference first, then by distance and name. Nodes without a position come last."""
+    forward = nodes.where("direction = 1")
+    return global_rank(forward, [F.asc_nulls_last("position"), F.desc("on_ref"), "distance", "node"], "place", "graph_id")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """graph_id, node, out_degree, in_degree over both readings; nodes without edges aren't there."""
     readings = both_readings(edges.select("graph_id", "idx", "u", "v"))

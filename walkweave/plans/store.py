@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +18,7 @@ _OWN: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local session without it gets a folder that goes with the driver."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base
     if not spark.sparkContext.master.startswith("local"):
@@ -28,9 +30,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table and reads it: its plan ends there, and what is lost with an executor is read again."""
+#: The tables of the scopes that are open here, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("graph_scopes", default=())
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """What materialise() writes inside is deleted in the end, but for tables that it was told to keep: those belong to the scope around, if there is one. Gives the list of the tables written so far."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield own
+    finally:
+        _SCOPES.reset(token)
+        delete(spark, own)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes a table and reads it: its plan ends there, and what is lost with an executor is read again. keep: the table outlives the scope in which it is written, as an operator's result does."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPES.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from walkweave import adapters as A
 from walkweave.functions import columns as C
 from walkweave.operators import genotypes as G
+from walkweave.operators import nesting as N
+from walkweave.operators import reach as H
 from walkweave.operators import regions as R
 from walkweave.operators import simplify as S
+from walkweave.operators import trees as T
 from walkweave.operators import variants as V
 from walkweave.plans import build as B
 from walkweave.plans import store
@@ -45,6 +49,15 @@ CTES = {
     "epair": "epair AS (SELECT * FROM (SELECT w, n AS u, lead(n) OVER (PARTITION BY w ORDER BY i) AS v FROM estep) WHERE v IS NOT NULL UNION ALL SELECT -1, t || '_+', lead(t) OVER (ORDER BY t) || '_+' FROM (SELECT DISTINCT event_type AS t FROM events) QUALIFY lead(t) OVER (ORDER BY t) IS NOT NULL)",
     "ecanon": "ecanon AS (SELECT w, CASE WHEN u < cu OR (u = cu AND v <= cv) THEN u ELSE cu END AS u, CASE WHEN u < cu OR (u = cu AND v <= cv) THEN v ELSE cv END AS v FROM (SELECT w, u, v, left(v, length(v) - 1) || CASE right(v, 1) WHEN '+' THEN '-' ELSE '+' END AS cu, left(u, length(u) - 1) || CASE right(u, 1) WHEN '+' THEN '-' ELSE '+' END AS cv FROM epair))",
 }
+#: Trees and ways that the SQL walks step by step.
+CTES |= {
+    "near": "near AS (SELECT least(uk, vk) AS a, greatest(uk, vk) AS k, count(*) AS n FROM pair WHERE uk <> vk GROUP BY ALL)",
+    "hang": "hang AS (SELECT seg.k, len, t.a FROM seg LEFT JOIN (SELECT k, a FROM near QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, a DESC) = 1) t ON t.k = seg.k)",
+    "climb": "climb(k, way, letters) AS (SELECT k, [k], len FROM hang WHERE a IS NULL UNION ALL SELECT h.k, list_append(c.way, h.k), c.letters + h.len FROM climb c JOIN hang h ON h.a = c.k)",
+    "ahead": "ahead AS (SELECT DISTINCT CASE WHEN e.uo = '+' THEN e.x ELSE e.y END AS p, CASE WHEN e.uo = '+' THEN e.y ELSE e.x END AS q FROM edge e LEFT JOIN back b ON b.idx = e.idx WHERE e.uo = e.vo AND NOT coalesce(b.is_back, false))",
+    "ways": "ways(k, x) AS (SELECT k, k FROM node WHERE NOT on_ref UNION SELECT w.k, a.q FROM ways w JOIN ahead a ON a.p = w.x JOIN node n ON n.k = a.q WHERE NOT n.on_ref)",
+}
+_RECURSIVE = {"climb", "ways"}
 NEEDS = ["seg", "node"], ["step", "pair", "named", "canon"], ["tree", "edge0", "edge"], ["lca", "back", "branch", "fwd", "lens", "var", "typed"]
 EDGE = [*NEEDS[0], *NEEDS[1], *NEEDS[2]]
 TYPED = [*EDGE, *NEEDS[3]]
@@ -54,10 +67,18 @@ def query(sql: str | None = None, ctes: list[str] = []):  # noqa: B006
     """Registers the function under its name, with the SQL after its common tables."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark, sf_dir):
+            """Scratch tables go with the query; where there are any, its rows are written first, since they are read from those tables."""
+            with store.scope(spark) as scratch:
+                rows = f(spark, sf_dir)
+                return store.materialise(rows, f.__name__, keep=True) if scratch else rows
+
+        QUERIES[f.__name__] = run
         if sql:
-            SQL[f.__name__] = (f"WITH {', '.join(CTES[c] for c in ctes)} " if ctes else "") + sql
-        return f
+            word = "WITH RECURSIVE" if any(c in _RECURSIVE for c in ctes) else "WITH"
+            SQL[f.__name__] = (f"{word} {', '.join(CTES[c] for c in ctes)} " if ctes else "") + sql
+        return run
 
     return add
 
@@ -147,12 +168,14 @@ def terminal_sources_sinks(spark, sf_dir):
 
 @query("SELECT k || '_+' AS node, position FROM node WHERE on_ref", NEEDS[0])
 def ref_positions(spark, sf_dir):
-    return A.parts_nodes(spark, sf_dir).where("on_ref and orient = '+'").select("node", "position")
+    """By the tour of the tree: the letters of reference parts on the path from the root."""
+    return A.parts_labels(spark, sf_dir).join(A.parts_tree(spark, sf_dir).where("ref_len > 0").select("node"), "node", "left_semi").select("node", "position")
 
 
 @query("SELECT k || '_+' AS node, distance FROM node", NEEDS[0])
 def distance_from_ref(spark, sf_dir):
-    return A.parts_nodes(spark, sf_dir).where("orient = '+'").select("node", "distance")
+    """By the tour of the tree: the letters of other parts on the path from the root."""
+    return A.parts_labels(spark, sf_dir).select("node", "distance")
 
 
 @query("SELECT d.k || '_+' AS descendant, a.k || '_+' AS node, (SELECT count(*) FROM node x WHERE x.k BETWEEN a.k AND d.k AND (x.on_ref OR x.k = d.k)) - 1 AS steps FROM node d JOIN node a ON a.k BETWEEN greatest(d.k - 12, 0) AND d.k AND (a.on_ref OR a.k = d.k)", NEEDS[0])
@@ -163,12 +186,57 @@ def tree_ancestors(spark, sf_dir):
     top = F.greatest(k - 12, F.lit(0))
     top = F.when((top % 3 == 2) & (top < k), top - 1).otherwise(top)
     pairs = nodes.where("orient = '+'").select("graph_id", F.concat(top.cast("string"), F.lit("_+")).alias("ancestor"), F.col("node").alias("descendant"))
-    return V.tree_ancestors(nodes, pairs).where(F.expr("cast(left(node, length(node) - 2) as long) >= greatest(cast(left(descendant, length(descendant) - 2) as long) - 12, 0)")).select("descendant", "node", F.col("steps").cast("long").alias("steps"))
+    return T.tree_paths(nodes, pairs).where(F.expr("cast(left(node, length(node) - 2) as long) >= greatest(cast(left(descendant, length(descendant) - 2) as long) - 12, 0)")).select("descendant", "node", F.col("steps").cast("long").alias("steps"))
 
 
 @query("SELECT idx, b || '_+' AS branch_point, is_back FROM branch", [*EDGE, "lca", "back", "branch"])
 def lca(spark, sf_dir):
-    return A.parts_edges(spark, sf_dir, A.order_walks(spark, sf_dir)).where("not in_tree").select("idx", "branch_point", "is_back")
+    """By range minima over the tour of the tree."""
+    edges = A.parts_edges(spark, sf_dir, A.order_walks(spark, sf_dir)).where("not in_tree")
+    return T.branch_points(A.parts_labels(spark, sf_dir), edges).select("idx", "branch_point", "is_back")
+
+
+CTES["box"] = "box AS (SELECT k FROM node WHERE (position >= 3000 AND position < 9000) OR (position = 9000 AND on_ref))"
+CTES["low"] = "low AS (SELECT u, v FROM typed WHERE ref_len + alt_len < 40 AND least(u_position, v_position) >= 3000 AND greatest(u_position, v_position) <= 9000), low_both AS (SELECT u, v FROM low UNION SELECT left(v, length(v) - 1) || CASE right(v, 1) WHEN '+' THEN '-' ELSE '+' END, left(u, length(u) - 1) || CASE right(u, 1) WHEN '+' THEN '-' ELSE '+' END FROM low)"
+_NEARBY = ["seg", "step", "pair", "near", "hang", "climb"]
+
+
+@query("SELECT k || '_+' AS node, len(way) - 1 AS depth, row_number() OVER (ORDER BY way) - 1 AS tin, row_number() OVER (ORDER BY way) - 2 + s.n AS tout, letters::BIGINT AS letters FROM climb JOIN (SELECT t, count(*) AS n FROM (SELECT unnest(way) AS t FROM climb) GROUP BY t) s ON s.t = climb.k", _NEARBY)
+def tour_labels(spark, sf_dir):
+    """Depths, preorder places and letters from the root of the tree of nearby parts, whose shape comes from the orders."""
+    return T.tour(A.nearby_tree(spark, sf_dir), {"letters": "len"}, ["k"]).select("node", "depth", "tin", "tout", "letters")
+
+
+@query("SELECT p.a || '_+' AS a, p.k || '_+' AS b, list_filter(x.way, lambda n: list_contains(y.way, n))[-1] || '_+' AS common FROM near p JOIN climb x ON x.k = p.a JOIN climb y ON y.k = p.k", _NEARBY)
+def tree_lca(spark, sf_dir):
+    """The lowest part above both of any two parts that stand next to each other on a walk, in the tree of nearby parts."""
+    return T.lowest_common(T.tour(A.nearby_tree(spark, sf_dir), order=["k"]), A.nearby_pairs(spark, sf_dir)).select("a", "b", "common")
+
+
+@query("SELECT k || '_+' AS descendant, unnest(way) || '_+' AS node, len(way) - generate_subscripts(way, 1) AS steps FROM climb", _NEARBY)
+def tree_paths(spark, sf_dir):
+    """From every part to its root in the tree of nearby parts."""
+    labels = T.tour(A.nearby_tree(spark, sf_dir), order=["k"])
+    roots = labels.where("depth = 0").select("graph_id", F.col("node").alias("ancestor"), "tin", "tout")
+    nodes = labels.select("graph_id", F.col("node").alias("descendant"), F.col("tin").alias("at"))
+    pairs = R.range_join(nodes, roots.select("graph_id", "ancestor", F.col("tin").alias("start"), F.col("tout").alias("end")), "at", closed=True, keys=("graph_id",))
+    return T.tree_paths(labels, pairs.select("graph_id", "ancestor", "descendant")).select("descendant", "node", "steps")
+
+
+@query("SELECT row_number() OVER (ORDER BY len(c.way), c.way) - 1 AS line, c.k || '_+' AS node, coalesce(p.line, -1) AS parent_line FROM climb c LEFT JOIN hang h ON h.k = c.k LEFT JOIN (SELECT k, row_number() OVER (ORDER BY len(way), way) - 1 AS line FROM climb) p ON p.k = h.a", _NEARBY)
+def tree_order(spark, sf_dir):
+    """Lines of the tree of nearby parts, parents first."""
+    labels = T.tour(A.nearby_tree(spark, sf_dir), order=["k"])
+    return T.tree_lines(labels).select("line", "node", "parent_line")
+
+
+@query(
+    "SELECT k || '_+' AS node, position AS right_position FROM node WHERE on_ref UNION ALL SELECT w.k || '_+', min(n.position) FROM ways w LEFT JOIN ahead a ON a.p = w.x LEFT JOIN node n ON n.k = a.q AND n.on_ref GROUP BY w.k",
+    [*EDGE, "lca", "back", "ahead", "ways"],
+)
+def right_positions(spark, sf_dir):
+    """Of parts off the reference, the least position of a reference part that a way ahead reaches."""
+    return H.right_positions(A.parts_graph(spark, sf_dir)).select("node", "right_position")
 
 
 @query("SELECT idx, vtype = 'DUP' AS back, vtype = 'DEL' AS forward, coalesce(vtype, '') IN ('', 'INS', 'REP', 'SNP', 'MNP') AS crossing FROM typed", TYPED)
@@ -269,6 +337,18 @@ def node_partition(spark, sf_dir):
     return R.node_partition(nodes, _bubbles(spark, sf_dir, nodes), 1 << 10)
 
 
+CTES["inside"] = "inside AS (SELECT a.bubble, arg_max(b.bubble, b.place) AS parent FROM placed a JOIN placed b ON b.place < a.place AND b.e >= a.e GROUP BY a.bubble)"
+CTES["placed"] = "placed AS (SELECT bubble, s, e, row_number() OVER (ORDER BY s, e DESC, bubble) - 1 AS place FROM bubble)"
+CTES["deep"] = "deep(bubble, level) AS (SELECT bubble, 0 FROM placed WHERE bubble NOT IN (SELECT bubble FROM inside) UNION ALL SELECT i.bubble, d.level + 1 FROM deep d JOIN inside i ON i.parent = d.bubble)"
+_RECURSIVE |= {"deep"}
+
+
+@query("SELECT p.bubble, p.place, i.parent, d.level::BIGINT AS level FROM placed p JOIN deep d ON d.bubble = p.bubble LEFT JOIN inside i ON i.bubble = p.bubble", [*NEEDS[0], "bubble", "placed", "inside", "deep"])
+def bubble_nesting(spark, sf_dir):
+    """Bubbles in the order of the reference, and which stands in which."""
+    return N.nesting(_bubbles(spark, sf_dir, A.parts_nodes(spark, sf_dir)))
+
+
 def _brand_partition(spark, sf_dir) -> DataFrame:
     """A part's nodes lie in the bubble of its brand and in the one of its brand and size class."""
     p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("seg"), F.explode(F.array(F.col("p_brand"), F.concat("p_brand", F.lit("/"), (F.col("p_size") % 2).cast("string")))).alias("bubble"))
@@ -336,6 +416,75 @@ def reference_tree(spark, sf_dir):
     return n.select("node", F.col("direction").cast("int").alias("direction"), "parent", F.col("depth").cast("long").alias("depth"), "position", "right_position")
 
 
+@query("SELECT w AS walk, e.idx, count(*) AS n FROM canon c JOIN edge e ON c.u = e.u AND c.v = e.v GROUP BY ALL", EDGE)
+def parts_edge_visits(spark, sf_dir):
+    """Every edge's visits by each order, from its visits of variants and its first and last part alone."""
+    g = A.parts_graph(spark, sf_dir, True)
+    counts = G.genotype(g, strict=False).where("kind = 'alt'").select("graph_id", "walk_idx", "idx", "n")
+    bounds = g.walks.select("graph_id", "walk_idx", F.element_at("steps", 1).alias("first"), F.element_at("steps", -1).alias("last"))
+    return G.edge_visits(g, counts, "graph_id", "walk_idx", bounds=bounds).select(F.col("walk_idx").alias("walk"), "idx", "n")
+
+
+def _by_nation(spark, sf_dir):
+    """The parts graph, and what each order covers; a nation's orders are one haplotype."""
+    g = A.parts_graph(spark, sf_dir, True)
+    return g, G.linear_coverage(g, strict=False).withColumn("hap", F.lit("1"))
+
+
+_COVER = "cover AS (SELECT c.w, c.nation, min(least(a.position, b.position)) AS low, max(greatest(a.position, b.position)) AS high FROM pair c JOIN node a ON a.k = uk JOIN node b ON b.k = vk GROUP BY ALL)"
+CTES["cover"] = _COVER
+CTES["gap"] = "gap AS (SELECT s.nation, s.p AS start, t.p AS stop FROM (SELECT nation, p, row_number() OVER (PARTITION BY nation ORDER BY p) AS i FROM (SELECT nation, high AS p FROM cover UNION ALL SELECT DISTINCT nation, 0 FROM cover)) s JOIN (SELECT nation, p, row_number() OVER (PARTITION BY nation ORDER BY p) AS i FROM (SELECT nation, low AS p FROM cover UNION ALL SELECT DISTINCT nation, (SELECT max(position) FROM node) FROM cover)) t ON s.nation = t.nation AND s.i = t.i WHERE s.p <= t.p)"
+
+
+@query("SELECT nation::VARCHAR AS sample, min(low) AS low, max(high) AS high FROM cover GROUP BY nation", [*NEEDS[0], "step", "pair", "cover"])
+def sample_coverage(spark, sf_dir):
+    return G.coverage_by(_by_nation(spark, sf_dir)[1]).select("sample", "low", "high")
+
+
+def _reference_ends(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("graph_id").agg(F.lit(0).cast("long").alias("first"), F.max("position").alias("last"))
+
+
+@query("SELECT nation::VARCHAR AS sample, start, stop AS end FROM gap", [*NEEDS[0], "step", "pair", "cover", "gap"])
+def coverage_gaps(spark, sf_dir):
+    g, cover = _by_nation(spark, sf_dir)
+    return G.coverage_gaps(g, cover, _reference_ends(g.nodes)).select("sample", "start", "end")
+
+
+@query("SELECT DISTINCT nation::VARCHAR AS sample, idx FROM typed JOIN gap ON least(u_position, v_position) BETWEEN start AND stop AND greatest(u_position, v_position) <= stop", [*TYPED, "cover", "gap"])
+def missing_by_sample(spark, sf_dir):
+    """Variants that lie where no order of a nation covers the reference."""
+    g, cover = _by_nation(spark, sf_dir)
+    return G.missing_variants(g, cover, V.variants(g), _reference_ends(g.nodes)).select("sample", "idx")
+
+
+@query("SELECT (SELECT count(*) FROM node) AS binodes, (SELECT count(*) FROM edge) AS biedges", EDGE)
+def graph_counts(spark, sf_dir):
+    return B.graph_counts(A.parts_graph(spark, sf_dir)).select("binodes", "biedges")
+
+
+@query("SELECT row_number() OVER (ORDER BY position, on_ref DESC, distance, k || '_+') - 1 AS place, k || '_+' AS node FROM node", NEEDS[0])
+def nodes_by_position(spark, sf_dir):
+    return B.nodes_by_position(A.parts_nodes(spark, sf_dir)).select("place", "node")
+
+
+@query("SELECT bubble, a, b, least(x.position, y.position) AS start, greatest(x.position, y.position) AS end FROM (SELECT p_brand AS bubble, max(p_partkey) AS a, min(p_partkey) AS b FROM part GROUP BY p_brand) z JOIN node x ON x.k = a JOIN node y ON y.k = b", NEEDS[0])
+def bubble_positions(spark, sf_dir):
+    """Where the bubble between a brand's last and first part lies."""
+    ends = A.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("bubble")).agg(F.max("p_partkey").cast("string").alias("a"), F.min("p_partkey").cast("string").alias("b"))
+    found = R.bubbles_with_positions(ends, A.parts_nodes(spark, sf_dir).where("orient = '+'").select("seg_id", "position"))
+    return found.select("bubble", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "start", "end")
+
+
+@query(
+    f"SELECT u, v FROM ({_READ}) r WHERE left(u, length(u) - 2)::BIGINT IN (SELECT k FROM box) AND left(v, length(v) - 2)::BIGINT IN (SELECT k FROM box) EXCEPT SELECT u, v FROM low_both",
+    [*TYPED, "box", "low"],
+)
+def delete_small_in_range(spark, sf_dir):
+    """Small variants between two places of the reference are deleted, and only that part of the graph is kept."""
+    return S.delete_small_variants(A.parts_graph(spark, sf_dir), (3000, 9000), 40)[1].select("u", "v")
+
+
 CTES["et"] = "et AS (SELECT t, row_number() OVER (ORDER BY t) AS r, translate(substr(md5(t), 1, (1 + length(t) % 3)::INT), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM (SELECT DISTINCT event_type AS t FROM events))"
 CTES["eedge"] = "eedge AS (SELECT u, v, count(*) AS weight, row_number() OVER (ORDER BY u, v) - 1 AS idx, (SELECT r FROM et WHERE t = left(u, length(u) - 2)) AS x, (SELECT r FROM et WHERE t = left(v, length(v) - 2)) AS y, right(u, 1) AS uo, right(v, 1) AS vo FROM ecanon GROUP BY u, v)"
 CTES["evar"] = "evar AS (SELECT *, CASE WHEN uo = '-' AND vo = '-' THEN y ELSE x END AS pu, CASE WHEN uo = '-' AND vo = '-' THEN x ELSE y END AS pv, CASE WHEN uo = '-' AND vo = '+' THEN -1 ELSE 1 END AS du, CASE WHEN uo = '+' AND vo = '-' THEN -1 ELSE 1 END AS dv, least(x, y) AS l, (vo = '+' AND least(x, y) = y) OR (uo = '-' AND least(x, y) = x) AS is_back FROM eedge WHERE NOT ((uo = vo AND uo = '+' AND y = x + 1) OR (uo = vo AND uo = '-' AND x = y + 1)))"
@@ -351,6 +500,11 @@ def alleles(spark, sf_dir):
     return V.alleles(g, V.variants(g)).select("idx", "ref", "alt")
 
 
+@query("SELECT idx FROM ebr WHERE b > 0", [*_EVENTS[:-1]])
+def variants_without_termini(spark, sf_dir):
+    return R.without_termini(V.variants(A.events_graph(spark, sf_dir), False)).select("idx")
+
+
 @query()
 def vcf(spark, sf_dir):
     """The whole VCF's records, genotypes included."""
@@ -443,12 +597,12 @@ def tree_file(spark, sf_dir):
 
 @query("SELECT k || o AS node, CASE o WHEN '_+' THEN 1 ELSE -1 END AS direction, position, position AS right_position, distance AS distance_from_reference, on_ref::INT AS on_reference_path FROM node, (VALUES ('_+'), ('_-')) t(o)", NEEDS[0])
 def nodeinfo(spark, sf_dir):
-    return K.nodeinfo(A.parts_graph(spark, sf_dir)).withColumn("direction", F.col("direction").cast("int"))
+    return K.nodeinfo(A.toured_parts_graph(spark, sf_dir)).withColumn("direction", F.col("direction").cast("int"))
 
 
 @query("SELECT e.idx AS index, e.weight, e.in_tree::INT AS is_in_tree, coalesce(b.b || '_+', '0') AS branch_point, coalesce(b.is_back, false)::INT AS is_back_edge FROM edge e LEFT JOIN branch b ON b.idx = e.idx", [*EDGE, "lca", "back", "branch"])
 def edgeinfo(spark, sf_dir):
-    return K.edgeinfo(A.parts_graph(spark, sf_dir))
+    return K.edgeinfo(A.toured_parts_graph(spark, sf_dir))
 
 
 @query("SELECT k::VARCHAR AS NodeID, seq AS Sequence FROM seg", ["seg"])

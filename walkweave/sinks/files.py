@@ -5,11 +5,12 @@ from __future__ import annotations
 import logging
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walkweave.functions.columns import node_id_symbol, node_recover
 from walkweave.operators import genotypes as G
+from walkweave.operators import trees
 from walkweave.operators import variants as V
 from walkweave.plans.build import both_readings
 from walkweave.schema import TERMINI, VCF_ATTRIBUTES, BiGraph
@@ -94,11 +95,9 @@ def write_vcf(graph: BiGraph, path: str, chrom: str, genotypes: bool = True, sin
 
 
 def tree_lines(graph: BiGraph) -> DataFrame:
-    """node, line, parent_line (-1: root), seq: nodes of the tree, parents first."""
-    order = Window.partitionBy("graph_id").orderBy("depth", "tin")
-    n = graph.nodes.where("direction = 1 and tin is not null").withColumn("line", F.row_number().over(order) - 1)
-    above = n.select("graph_id", F.col("node").alias("parent"), F.col("line").alias("parent_line"))
-    return n.join(above, ["graph_id", "parent"], "left").select("graph_id", "node", "line", F.coalesce("parent_line", F.lit(-1)).alias("parent_line"), "seq")
+    """graph_id, node, line, parent_line (-1: root), seq: nodes of the tree, parents first."""
+    n = graph.nodes.where("direction = 1 and tin is not null")
+    return trees.tree_lines(n).select("graph_id", "node", "line", "parent_line", "seq")
 
 
 def write_tree(graph: BiGraph, path: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from walkweave.functions.columns import bubble_ends, bubble_nodes, info_map
+from walkweave.functions.columns import bubble_ends, bubble_nodes, info_map, node_convert
+from walkweave.operators.regions import bubble_variants
+from walkweave.plans.build import both_readings
+from walkweave.schema import MINUS_TERMINUS, PLUS_TERMINUS, BiGraph
 
 
 def read_nodeinfo(spark: SparkSession, path: str) -> DataFrame:
@@ -77,3 +80,18 @@ def read_snarls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     bubbles = rows.select("bubble", F.get("ends", F.lit(0)).alias("a"), F.get("ends", F.lit(1)).alias("b"), "level", "parent", "content")
     nodes = rows.select("bubble", F.explode(F.concat("ends", "content")).alias("seg")).select(F.explode(F.array(F.concat("seg", F.lit("_+")), F.concat("seg", F.lit("_-")))).alias("node"), "bubble").distinct()
     return bubbles, nodes
+
+
+def variants_of_bubbles(spark: SparkSession, path: str, graph: BiGraph, partition: DataFrame) -> DataFrame:
+    """bubble, id, idx, within: the variants of a called VCF, found again in the graph by their ids (u and v, each with its sign in front), and the bubbles that hold or are crossed by them. Of ids that stand twice one counts; an id that is
+    no edge of the graph is an error."""
+    names, records = read_vcf_lines(spark, path)
+    ids = records.select(F.get("f", F.lit(names.index("ID"))).alias("id")).distinct()
+    # An id's signs say how to read each end; a terminus has a name of its own.
+    step = F.regexp_extract_all("id", F.lit(r"[<>][^<>]+"), F.lit(0))
+    node = lambda i: F.replace(F.replace(node_convert(F.get(step, F.lit(i))), F.lit("startTerminus"), F.lit(PLUS_TERMINUS)), F.lit("endTerminus"), F.lit(MINUS_TERMINUS))
+    ends = ids.select("id", node(0).alias("u"), node(1).alias("v"))
+    edges = both_readings(graph.edges.select("graph_id", "idx", "u", "v")).select("u", "v", "idx")
+    missing = F.raise_error(F.concat(F.lit("no such edge: "), "id")).cast("long")
+    found = ends.join(edges, ["u", "v"], "left").withColumn("idx", F.when(F.col("idx").isNull(), missing).otherwise(F.col("idx")))
+    return bubble_variants(found.select("idx", "u", "v"), partition).join(found.select("idx", "id").distinct(), "idx").select("bubble", "id", "idx", "within")
