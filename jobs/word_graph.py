@@ -50,6 +50,12 @@ def edges_of(spark: SparkSession, out: str) -> DataFrame:
     return found.withColumn("lang", F.coalesce("lang", F.lit(""))).select("lang", "u", "v", "weight", "samples", "main")
 
 
+def streamed(documents: str, files: list[str]) -> str:
+    """The path to stream from. Streams take a folder or a pattern, so a table that is one file is named by a pattern that only it matches."""
+    folder, _, name = documents.rstrip("/").rpartition("/")
+    return f"{folder}/{{{name}}}" if len(files) == 1 and files[0].rpartition("/")[2] == name else documents
+
+
 def run(spark: SparkSession, documents: str, out: str, checkpoint: str | None = None, options: dict | None = None) -> DataFrame:
     """Takes what is new and returns the whole table of edges: lang, u, v, weight, samples, main."""
     o = DEFAULTS | (options or {})
@@ -66,7 +72,7 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str | None =
         edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{out}/edges")
         log.info("batch %d: wrote %d rows of counts, %d languages of edges", number, counts.where(F.col("batch") == number).count(), touched.count())
 
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", o["files_per_batch"]).parquet(documents)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", o["files_per_batch"]).parquet(streamed(documents, table.inputFiles()))
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint or f"{out}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()

@@ -75,6 +75,16 @@ def test_word_graph_of_an_empty_table(spark, tmp_path):
     assert found(word_graph.run(spark, docs, str(tmp_path / "out"))) == []
 
 
+def test_word_graph_of_one_file(spark, tmp_path):
+    """Files are often tables of their own; one that isn't named in full is no other's."""
+    spark.createDataFrame(rows(20, 5), DOCS).coalesce(1).write.parquet(str(tmp_path / "t"))
+    part = next((tmp_path / "t").glob("part*"))
+    part.rename(tmp_path / "documents.parquet")
+    (tmp_path / "documents.parquet2").write_text("no table")
+    for _ in range(2):
+        assert found(word_graph.run(spark, str(tmp_path / "documents.parquet"), str(tmp_path / "out"))) == slow(rows(20, 5))
+
+
 def test_settings(spark, tmp_path):
     path = tmp_path / "s.json"
     path.write_text(json.dumps({"least": 3}))

@@ -108,11 +108,11 @@ def nearby_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearby_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """graph_id, a, b: parts that stand next to each other on a walk, each pair once, the smaller key first."""
+    """graph_id, a, b: different parts that stand next to each other on a walk, each pair once, the smaller key first."""
     key = lambda c: F.substring(c, F.lit(1), F.length(c) - 2).cast("long")
     x, y = key(F.col("u")), key(F.col("v"))
     name = lambda c: F.concat(c.cast("string"), F.lit("_+"))
-    return walk_pairs(order_walks(spark, sf_dir), "graph_id").select("graph_id", name(F.least(x, y)).alias("a"), name(F.greatest(x, y)).alias("b")).distinct()
+    return walk_pairs(order_walks(spark, sf_dir), "graph_id").where(x != y).select("graph_id", name(F.least(x, y)).alias("a"), name(F.greatest(x, y)).alias("b")).distinct()
 
 
 def parts_edges(spark: SparkSession, sf_dir: str, walks: DataFrame) -> DataFrame:

@@ -231,12 +231,12 @@ def tree_order(spark, sf_dir):
 
 
 @query(
-    "SELECT k || '_+' AS node, position AS right_position FROM node WHERE on_ref UNION ALL SELECT w.k || '_+', min(n.position) FROM ways w LEFT JOIN ahead a ON a.p = w.x LEFT JOIN node n ON n.k = a.q AND n.on_ref GROUP BY w.k",
+    "SELECT k || '_+' AS node, position AS right_position FROM node WHERE on_ref UNION ALL SELECT w.k || '_+', coalesce(min(n.position), -1) FROM ways w LEFT JOIN ahead a ON a.p = w.x LEFT JOIN node n ON n.k = a.q AND n.on_ref GROUP BY w.k",
     [*EDGE, "lca", "back", "ahead", "ways"],
 )
 def right_positions(spark, sf_dir):
-    """Of parts off the reference, the least position of a reference part that a way ahead reaches."""
-    return H.right_positions(A.parts_graph(spark, sf_dir)).select("node", "right_position")
+    """Of parts off the reference, the least position of a reference part that a way ahead reaches; -1 where none does."""
+    return H.right_positions(A.parts_graph(spark, sf_dir)).select("node", F.coalesce("right_position", F.lit(-1)).cast("long").alias("right_position"))
 
 
 @query("SELECT idx, vtype = 'DUP' AS back, vtype = 'DEL' AS forward, coalesce(vtype, '') IN ('', 'INS', 'REP', 'SNP', 'MNP') AS crossing FROM typed", TYPED)
@@ -425,37 +425,38 @@ def parts_edge_visits(spark, sf_dir):
     return G.edge_visits(g, counts, "graph_id", "walk_idx", bounds=bounds).select(F.col("walk_idx").alias("walk"), "idx", "n")
 
 
-def _by_nation(spark, sf_dir):
-    """The parts graph, and what each order covers; a nation's orders are one haplotype."""
+def _covered(spark, sf_dir):
+    """The parts graph, and what each order covers."""
     g = A.parts_graph(spark, sf_dir, True)
-    return g, G.linear_coverage(g, strict=False).withColumn("hap", F.lit("1"))
+    return g, G.linear_coverage(g, strict=False)
 
 
-_COVER = "cover AS (SELECT c.w, c.nation, min(least(a.position, b.position)) AS low, max(greatest(a.position, b.position)) AS high FROM pair c JOIN node a ON a.k = uk JOIN node b ON b.k = vk GROUP BY ALL)"
-CTES["cover"] = _COVER
-CTES["gap"] = "gap AS (SELECT s.nation, s.p AS start, t.p AS stop FROM (SELECT nation, p, row_number() OVER (PARTITION BY nation ORDER BY p) AS i FROM (SELECT nation, high AS p FROM cover UNION ALL SELECT DISTINCT nation, 0 FROM cover)) s JOIN (SELECT nation, p, row_number() OVER (PARTITION BY nation ORDER BY p) AS i FROM (SELECT nation, low AS p FROM cover UNION ALL SELECT DISTINCT nation, (SELECT max(position) FROM node) FROM cover)) t ON s.nation = t.nation AND s.i = t.i WHERE s.p <= t.p)"
+CTES["cover"] = "cover AS (SELECT c.w, c.nation, c.cust, min(least(a.position, b.position)) AS low, max(greatest(a.position, b.position)) AS high FROM pair c JOIN node a ON a.k = uk JOIN node b ON b.k = vk GROUP BY ALL)"
+CTES["gap"] = """gap AS (SELECT s.nation, s.cust, s.p AS start, t.p AS stop
+ FROM (SELECT nation, cust, p, row_number() OVER (PARTITION BY cust ORDER BY p) AS i FROM (SELECT nation, cust, high AS p FROM cover UNION ALL SELECT DISTINCT nation, cust, 0 FROM cover)) s
+ JOIN (SELECT cust, p, row_number() OVER (PARTITION BY cust ORDER BY p) AS i FROM (SELECT cust, low AS p FROM cover UNION ALL SELECT DISTINCT cust, (SELECT max(position) FROM node) FROM cover)) t ON s.cust = t.cust AND s.i = t.i WHERE s.p <= t.p)"""
 
 
 @query("SELECT nation::VARCHAR AS sample, min(low) AS low, max(high) AS high FROM cover GROUP BY nation", [*NEEDS[0], "step", "pair", "cover"])
 def sample_coverage(spark, sf_dir):
-    return G.coverage_by(_by_nation(spark, sf_dir)[1]).select("sample", "low", "high")
+    return G.coverage_by(_covered(spark, sf_dir)[1]).select("sample", "low", "high")
 
 
 def _reference_ends(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("graph_id").agg(F.lit(0).cast("long").alias("first"), F.max("position").alias("last"))
 
 
-@query("SELECT nation::VARCHAR AS sample, start, stop AS end FROM gap", [*NEEDS[0], "step", "pair", "cover", "gap"])
+@query("SELECT nation::VARCHAR AS sample, cust::VARCHAR AS hap, start, stop AS end FROM gap", [*NEEDS[0], "step", "pair", "cover", "gap"])
 def coverage_gaps(spark, sf_dir):
-    g, cover = _by_nation(spark, sf_dir)
-    return G.coverage_gaps(g, cover, _reference_ends(g.nodes)).select("sample", "start", "end")
+    g, cover = _covered(spark, sf_dir)
+    return G.coverage_gaps(g, cover, _reference_ends(g.nodes)).select("sample", "hap", "start", "end")
 
 
-@query("SELECT DISTINCT nation::VARCHAR AS sample, idx FROM typed JOIN gap ON least(u_position, v_position) BETWEEN start AND stop AND greatest(u_position, v_position) <= stop", [*TYPED, "cover", "gap"])
-def missing_by_sample(spark, sf_dir):
-    """Variants that lie where no order of a nation covers the reference."""
-    g, cover = _by_nation(spark, sf_dir)
-    return G.missing_variants(g, cover, V.variants(g), _reference_ends(g.nodes)).select("sample", "idx")
+@query("SELECT DISTINCT nation::VARCHAR AS sample, cust::VARCHAR AS hap, idx FROM typed JOIN gap ON least(u_position, v_position) BETWEEN start AND stop AND greatest(u_position, v_position) <= stop", [*TYPED, "cover", "gap"])
+def missing_by_haplotype(spark, sf_dir):
+    """Variants that lie where no order of a customer covers the reference."""
+    g, cover = _covered(spark, sf_dir)
+    return G.missing_variants(g, cover, V.variants(g), _reference_ends(g.nodes)).select("sample", "hap", "idx")
 
 
 @query("SELECT (SELECT count(*) FROM node) AS binodes, (SELECT count(*) FROM edge) AS biedges", EDGE)
