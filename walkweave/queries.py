@@ -486,6 +486,31 @@ def delete_small_in_range(spark, sf_dir):
     return S.delete_small_variants(A.parts_graph(spark, sf_dir), (3000, 9000), 40)[1].select("u", "v")
 
 
+_GT = {c: f"string_agg({c}, '{m}' ORDER BY hap)" for c, m in (("gt", "|"), ("cr", ","), ("ca", ","))}
+CTES["home"] = "home AS (SELECT n_nationkey AS nation, n_regionkey::VARCHAR AS sample FROM nation)"
+CTES["seen"] = "seen AS (SELECT h.sample, 1 + c.cust % 2 AS hap, min(least(a.position, b.position)) AS low, max(greatest(a.position, b.position)) AS high FROM pair c JOIN home h ON h.nation = c.nation JOIN node a ON a.k = uk JOIN node b ON b.k = vk GROUP BY c.w, h.sample, c.cust)"
+CTES["open"] = """open AS (SELECT s.sample, s.hap, s.p AS start, t.p AS stop
+ FROM (SELECT *, row_number() OVER (PARTITION BY sample, hap ORDER BY p) AS i FROM (SELECT sample, hap, high AS p FROM seen UNION ALL SELECT DISTINCT sample, hap, 0 FROM seen)) s
+ JOIN (SELECT *, row_number() OVER (PARTITION BY sample, hap ORDER BY p) AS i FROM (SELECT sample, hap, low AS p FROM seen UNION ALL SELECT DISTINCT sample, hap, (SELECT max(position) FROM node) FROM seen)) t ON s.sample = t.sample AND s.hap = t.hap AND s.i = t.i WHERE s.p <= t.p)"""
+CTES["lost"] = "lost AS (SELECT DISTINCT sample, hap, idx FROM typed JOIN open ON least(u_position, v_position) BETWEEN start AND stop AND greatest(u_position, v_position) <= stop)"
+CTES["took"] = "took AS (SELECT sample, 1 + cust % 2 AS hap, e.idx, e.in_tree, greatest(e.x, e.y) AS k, count(*) AS n FROM canon c JOIN home h ON h.nation = c.nation JOIN edge e ON c.u = e.u AND c.v = e.v GROUP BY ALL)"
+CTES["cell"] = """cell AS (SELECT t.idx, s.sample, s.hap, coalesce(vtype = 'INV', false) AS inv, l.idx IS NULL AS known, coalesce(a.n, 0) AS an, coalesce(r.n, 0) AS rn
+ FROM typed t CROSS JOIN (SELECT DISTINCT sample, 1 + c_custkey % 2 AS hap FROM orders JOIN customer ON o_custkey = c_custkey JOIN home ON nation = c_nationkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) s
+ LEFT JOIN lost l ON l.sample = s.sample AND l.hap = s.hap AND l.idx = t.idx
+ LEFT JOIN took a ON a.sample = s.sample AND a.hap = s.hap AND a.idx = t.idx LEFT JOIN took r ON r.in_tree AND r.sample = s.sample AND r.hap = s.hap AND r.k = t.pv)"""
+CTES["text"] = "text AS (SELECT idx, sample, hap, CASE WHEN known AND (inv OR rn <> 0 OR an <> 0) THEN (an > 0)::INT::VARCHAR ELSE '.' END AS gt, CASE WHEN known AND NOT inv THEN rn::VARCHAR ELSE '.' END AS cr, CASE WHEN known THEN an::VARCHAR ELSE '.' END AS ca FROM cell)"
+
+
+@query(f"SELECT idx, sample, {_GT['gt']} || ':' || {_GT['cr']} || ':' || {_GT['ca']} AS field FROM text GROUP BY idx, sample", [*TYPED, "home", "seen", "open", "lost", "took", "cell", "text"])
+def region_fields(spark, sf_dir):
+    """GT:CR:CA of every variant of the parts graph and every region of the world; customers with even and odd keys are its two haplotypes."""
+    g = A.parts_graph(spark, sf_dir, True)
+    home = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("sample"), F.col("n_regionkey").cast("string").alias("region"))
+    walks = g.walks.join(home, "sample").withColumns({"sample": F.col("region"), "hap": (1 + F.col("hap").cast("long") % 2).cast("string")}).select(g.walks.columns)
+    g = g.but(walks=store.materialise(walks, "walks"))
+    return G.sample_fields(g, V.variants(g), False, _reference_ends(g.nodes)).select("idx", "sample", "field")
+
+
 CTES["et"] = "et AS (SELECT t, row_number() OVER (ORDER BY t) AS r, translate(substr(md5(t), 1, (1 + length(t) % 3)::INT), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM (SELECT DISTINCT event_type AS t FROM events))"
 CTES["eedge"] = "eedge AS (SELECT u, v, count(*) AS weight, row_number() OVER (ORDER BY u, v) - 1 AS idx, (SELECT r FROM et WHERE t = left(u, length(u) - 2)) AS x, (SELECT r FROM et WHERE t = left(v, length(v) - 2)) AS y, right(u, 1) AS uo, right(v, 1) AS vo FROM ecanon GROUP BY u, v)"
 CTES["evar"] = "evar AS (SELECT *, CASE WHEN uo = '-' AND vo = '-' THEN y ELSE x END AS pu, CASE WHEN uo = '-' AND vo = '-' THEN x ELSE y END AS pv, CASE WHEN uo = '-' AND vo = '+' THEN -1 ELSE 1 END AS du, CASE WHEN uo = '+' AND vo = '-' THEN -1 ELSE 1 END AS dv, least(x, y) AS l, (vo = '+' AND least(x, y) = y) OR (uo = '-' AND least(x, y) = x) AS is_back FROM eedge WHERE NOT ((uo = vo AND uo = '+' AND y = x + 1) OR (uo = vo AND uo = '-' AND x = y + 1)))"
