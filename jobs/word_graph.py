@@ -52,8 +52,8 @@ def edges_of(spark: SparkSession, out: str) -> DataFrame:
 
 def streamed(documents: str, files: list[str]) -> str:
     """The path to stream from. Streams take a folder or a pattern, so a table that is one file is named by a pattern that only it matches."""
-    folder, _, name = documents.rstrip("/").rpartition("/")
-    return f"{folder}/{{{name}}}" if len(files) == 1 and files[0].rpartition("/")[2] == name else documents
+    folder, slash, name = documents.rstrip("/").rpartition("/")
+    return f"{folder}{slash}{{{name}}}" if len(files) == 1 and files[0].rpartition("/")[2] == name else documents
 
 
 def run(spark: SparkSession, documents: str, out: str, checkpoint: str | None = None, options: dict | None = None) -> DataFrame:
@@ -63,14 +63,17 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str | None =
     table = spark.read.parquet(documents).select(*dict.fromkeys(columns))
     spark.createDataFrame([], EDGES).write.mode("append").partitionBy("lang").parquet(f"{out}/edges")  # so that there is a table without documents, too
 
+    read: list[int] = []
+
     def add(batch: DataFrame, number: int) -> None:
+        read.append(batch.count())
         own = counted(batch, o["language"], o["sample"]).withColumn("batch", F.lit(number).cast("long"))
         own.drop("batch").write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
         counts = spark.read.schema(COUNTS).parquet(f"{out}/counts").where(F.col("batch") <= number)
         touched = counts.where(F.col("batch") == number).select("lang").distinct()
         edges = graph(counts.join(touched, "lang", "left_semi"))
         edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{out}/edges")
-        log.info("batch %d: wrote %d rows of counts, %d languages of edges", number, counts.where(F.col("batch") == number).count(), touched.count())
+        log.info("batch %d: read %d documents, wrote %d rows of counts, %d languages of edges", number, read[-1], counts.where(F.col("batch") == number).count(), touched.count())
 
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", o["files_per_batch"]).parquet(streamed(documents, table.inputFiles()))
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint or f"{out}/checkpoint").trigger(availableNow=True).start()
@@ -78,9 +81,8 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str | None =
         query.awaitTermination()
     finally:
         query.stop()
-    read = [p.numInputRows for p in query.recentProgress]
     edges = edges_of(spark, out)
-    log.info("read %d new documents of %s in %d batches; %s has %d edges", sum(read), documents, sum(n > 0 for n in read), f"{out}/edges", edges.count())
+    log.info("read %d new documents of %s in %d batches; %s has %d edges", sum(read), documents, len(read), f"{out}/edges", edges.count())
     return edges
 
 

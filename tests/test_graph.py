@@ -343,6 +343,24 @@ def test_bubbles_of_a_called_vcf(c4a, spark, tmp_path):
         info.variants_of_bubbles(spark, str(tmp_path / "w.vcf"), c4a, part).collect()
 
 
+def test_parts_of_a_written_tree_are_in_order(spark, c4a, tmp_path):
+    """Several parts, one range of lines each, are together the one file."""
+    K.write_tree(c4a, str(tmp_path / "one"), True)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        K.write_tree(c4a, str(tmp_path / "many"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(str(tmp_path / "many/part*"))) > 1
+    assert one_file(tmp_path / "many") == one_file(tmp_path / "one")
+
+
+def test_actions_are_logged_with_memory(caplog):
+    caplog.set_level("INFO", "walkweave")
+    K.log_action("reading")
+    assert caplog.messages[0].startswith("reading, ") and caplog.messages[0].endswith(" MB")
+
+
 def test_counts_and_orders(c4a):
     assert B.graph_counts(c4a).first().asDict() == {"graph_id": "c4a", "binodes": 10, "biedges": 17}
     placed = B.nodes_by_position(c4a.nodes).orderBy("place").collect()

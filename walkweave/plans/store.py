@@ -52,12 +52,18 @@ def scope(spark: SparkSession):
         delete(spark, own)
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Writes a table and reads it: its plan ends there, and what is lost with an executor is read again. keep: the table outlives the scope in which it is written, as an operator's result does."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; what is written there goes with the scope that is open, or with the one around if it's to be kept."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     scopes = _SCOPES.get()[: -1 if keep else None]
     if scopes:
         scopes[-1].append(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes a table and reads it: its plan ends there, and what is lost with an executor is read again. keep: the table outlives the scope in which it is written, as an operator's result does."""
+    path = scratch_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

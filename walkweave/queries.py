@@ -20,6 +20,7 @@ from walkweave.operators import variants as V
 from walkweave.plans import build as B
 from walkweave.plans import store
 from walkweave.sinks import files as K
+from walkweave.sources import gfa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -511,6 +512,40 @@ def region_fields(spark, sf_dir):
     return G.sample_fields(g, V.variants(g), False, _reference_ends(g.nodes)).select("idx", "sample", "field")
 
 
+def _written_gfa(spark, sf_dir):
+    """The parts graph's segments, links and walks, written as GFA text and read again."""
+    walks = store.materialise(A.order_walks(spark, sf_dir), "walks")
+    path = store.scratch_path(spark, "gfa")
+    K.write_source_gfa(A.part_segments(spark, sf_dir), A.parts_edges(spark, sf_dir, walks), walks, path)
+    return gfa.read_gfa(spark, path, graph_id="parts")
+
+
+@query("SELECT k::VARCHAR AS seg_id, seq FROM seg", ["seg"])
+def gfa_segments(spark, sf_dir):
+    return _written_gfa(spark, sf_dir)["segments"].select("seg_id", "seq")
+
+
+@query("SELECT u, v, weight FROM edge", EDGE)
+def gfa_weights(spark, sf_dir):
+    """The weights of the links of a GFA text by its walks."""
+    tables = _written_gfa(spark, sf_dir)
+    return B.edge_weights(tables["links"], tables["walks"]).select("u", "v", "weight")
+
+
+_TAB = "chr(9)"
+_SIDES = "left(u, length(u) - 2) || chr(9) || right(u, 1) || chr(9) || left(v, length(v) - 2) || chr(9) || right(v, 1) || chr(9) || '0M'"
+
+
+@query(f"SELECT 'S' || {_TAB} || k || {_TAB} || seq AS value FROM node UNION ALL SELECT 'S' || {_TAB} || k || {_TAB} || reverse(translate(seq, 'ACGT', 'TGCA')) FROM node UNION ALL SELECT 'L' || {_TAB} || {_SIDES} FROM ({_READ})", EDGE)
+def gfa_text(spark, sf_dir):
+    return K.gfa_lines(A.parts_graph(spark, sf_dir)).select("value")
+
+
+@query(f"SELECT 'S' || {_TAB} || k || {_TAB} || seq AS value FROM node UNION ALL SELECT 'L' || {_TAB} || above || {_TAB} || '+' || {_TAB} || k || {_TAB} || '+' || {_TAB} || '0M' FROM node WHERE k > 0", NEEDS[0])
+def tree_gfa(spark, sf_dir):
+    return K.gfa_lines(A.parts_graph(spark, sf_dir), True).select("value")
+
+
 CTES["et"] = "et AS (SELECT t, row_number() OVER (ORDER BY t) AS r, translate(substr(md5(t), 1, (1 + length(t) % 3)::INT), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM (SELECT DISTINCT event_type AS t FROM events))"
 CTES["eedge"] = "eedge AS (SELECT u, v, count(*) AS weight, row_number() OVER (ORDER BY u, v) - 1 AS idx, (SELECT r FROM et WHERE t = left(u, length(u) - 2)) AS x, (SELECT r FROM et WHERE t = left(v, length(v) - 2)) AS y, right(u, 1) AS uo, right(v, 1) AS vo FROM ecanon GROUP BY u, v)"
 CTES["evar"] = "evar AS (SELECT *, CASE WHEN uo = '-' AND vo = '-' THEN y ELSE x END AS pu, CASE WHEN uo = '-' AND vo = '-' THEN x ELSE y END AS pv, CASE WHEN uo = '-' AND vo = '+' THEN -1 ELSE 1 END AS du, CASE WHEN uo = '+' AND vo = '-' THEN -1 ELSE 1 END AS dv, least(x, y) AS l, (vo = '+' AND least(x, y) = y) OR (uo = '-' AND least(x, y) = x) AS is_back FROM eedge WHERE NOT ((uo = vo AND uo = '+' AND y = x + 1) OR (uo = vo AND uo = '-' AND x = y + 1)))"

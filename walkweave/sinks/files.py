@@ -1,8 +1,9 @@
-"""Writing graphs: VCF, tree, node and edge tables, GFA, sequences and lists. Each file is a folder of parts unless `single` asks for one, which goes through one task in order."""
+"""Writing graphs: VCF, tree, node and edge tables, GFA, sequences and lists. Each file is a folder of parts in order, a part per range of the order; `single` asks for one part, which goes through one task. Tables with a header have it in each part."""
 
 from __future__ import annotations
 
 import logging
+import resource
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,11 @@ META = (
 )
 
 
+def log_action(action: str) -> None:
+    """Logs what is done and the driver's largest memory so far in MB; Spark's own pages show the executors'."""
+    log.info("%s, %d MB", action, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+
+
 def write_lines(lines: DataFrame, path: str, single: bool = True, order: list[str | Column] | None = None) -> None:
     """lines: value and the columns of `order`."""
     rows = lines.orderBy(*order) if order else lines
@@ -87,7 +93,7 @@ def vcf_lines(graph: BiGraph, chrom: str, genotypes: bool = True, **options) ->
 
 def write_vcf(graph: BiGraph, path: str, chrom: str, genotypes: bool = True, single: bool = True, **options) -> None:
     """Options: exclude_terminus, size_threshold (alleles are cut to so many letters), check_degenerate (skips variants whose alleles are equal)."""
-    log.info("writing VCF %s", path)
+    log_action(f"writing VCF {path}")
     head, lines = vcf_lines(graph, chrom, genotypes, **options)
     spark = lines.sparkSession
     top = spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "rank long, value string")
@@ -100,9 +106,9 @@ def tree_lines(graph: BiGraph) -> DataFrame:
     return trees.tree_lines(n).select("graph_id", "node", "line", "parent_line", "seq")
 
 
-def write_tree(graph: BiGraph, path: str) -> DataFrame:
+def write_tree(graph: BiGraph, path: str, single: bool = False) -> DataFrame:
     lines = tree_lines(graph)
-    write_lines(lines.select("line", F.concat_ws(",", "node", "parent_line", "seq").alias("value")), path, True, ["line"])
+    write_lines(lines.select("line", F.concat_ws(",", "node", "parent_line", "seq").alias("value")), path, single, ["line"])
     return lines.select("graph_id", "node", "line")
 
 
@@ -118,12 +124,17 @@ def nodeinfo(graph: BiGraph) -> DataFrame:
     return n.select("node", "direction", "position", "right_position", F.col("distance").alias("distance_from_reference"), F.col("on_ref").cast("int").alias("on_reference_path"))
 
 
-def write_edgeinfo(graph: BiGraph, path: str) -> None:
-    edgeinfo(graph).orderBy("index").coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_table(rows: DataFrame, path: str, order: str, single: bool, sep: str = ",") -> None:
+    rows = rows.orderBy(order)
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, header=True, sep=sep)
+
 
+def write_edgeinfo(graph: BiGraph, path: str, single: bool = True) -> None:
+    write_table(edgeinfo(graph), path, "index", single)
 
-def write_nodeinfo(graph: BiGraph, path: str) -> None:
-    nodeinfo(graph).orderBy("node").coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+def write_nodeinfo(graph: BiGraph, path: str, single: bool = True) -> None:
+    write_table(nodeinfo(graph), path, "node", single)
 
 
 def gfa_lines(graph: BiGraph, only_tree: bool = False) -> DataFrame:
@@ -139,8 +150,18 @@ def gfa_lines(graph: BiGraph, only_tree: bool = False) -> DataFrame:
     return s.union(edges.select(F.lit(1).alias("rank"), F.concat_ws("\t", F.lit("L"), "us", "uo", "vs", "vo", F.lit("0M")).alias("value")))
 
 
-def write_gfa(graph: BiGraph, path: str, only_tree: bool = False) -> None:
-    write_lines(gfa_lines(graph, only_tree), path, True, ["rank", "value"])
+def write_gfa(graph: BiGraph, path: str, only_tree: bool = False, single: bool = False) -> None:
+    write_lines(gfa_lines(graph, only_tree), path, single, ["rank", "value"])
+
+
+def write_source_gfa(segments: DataFrame, links: DataFrame, walks: DataFrame, path: str, contig: str = "*") -> None:
+    """Segments, links and walks as the GFA text that `sources.gfa` reads, a folder of parts in no order: S, L and W lines. A walk's range is left open."""
+    tabs = lambda *c: F.concat_ws("\t", *c).alias("value")
+    end = lambda c: (node_id_symbol(c)["id"], node_id_symbol(c)["symbol"])
+    lines = segments.select(tabs(F.lit("S"), "seg_id", "seq")).union(links.select(tabs(F.lit("L"), *end("u"), *end("v"), F.lit("0M"))))
+    open_ = F.lit("*")
+    lines = lines.union(walks.select(tabs(F.lit("W"), "sample", "hap", F.lit(contig), open_, open_, F.array_join(F.transform("steps", node_recover), ""))))
+    lines.write.mode("overwrite").text(path)
 
 
 def node_sequences(graph: BiGraph) -> DataFrame:
@@ -148,31 +169,31 @@ def node_sequences(graph: BiGraph) -> DataFrame:
     return graph.nodes.where("direction = 1").select(F.col("seg_id").alias("NodeID"), F.col("seq").alias("Sequence")).distinct()
 
 
-def write_node_sequences(graph: BiGraph, path: str) -> None:
-    node_sequences(graph).orderBy("NodeID").coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_node_sequences(graph: BiGraph, path: str, single: bool = True) -> None:
+    write_table(node_sequences(graph), path, "NodeID", single)
 
 
-def write_nodes(nodes: DataFrame, path: str) -> None:
-    write_lines(nodes.select(F.col("node").alias("value")), path, True, ["value"])
+def write_nodes(nodes: DataFrame, path: str, single: bool = False) -> None:
+    write_lines(nodes.select(F.col("node").alias("value")), path, single, ["value"])
 
 
-def subset_gfa_to_tree(spark, gfa: str, path: str, graph: BiGraph) -> None:
+def subset_gfa_to_tree(spark, gfa: str, path: str, graph: BiGraph, single: bool = False) -> None:
     """Copies S lines, and the L lines whose edge is in the tree."""
     text = spark.read.text(gfa).withColumn("at", F.monotonically_increasing_id())
     f = F.split(F.regexp_replace("value", r"\s+$", ""), "\t")
     end = lambda i: F.concat(F.get(f, F.lit(i)), F.lit("_"), F.get(f, F.lit(i + 1)))
     tree = graph.edges.where("in_tree").select("u", "v")
     links = text.where(F.col("value").startswith("L\t")).withColumns({"u": end(1), "v": end(3)}).join(tree, ["u", "v"], "left_semi")
-    write_lines(text.where(F.col("value").startswith("S\t")).select("value", "at").union(links.select("value", "at")), path, True, ["at"])
+    write_lines(text.where(F.col("value").startswith("S\t")).select("value", "at").union(links.select("value", "at")), path, single, ["at"])
 
 
-def write_bubble_summary(summary: DataFrame, folder: str, chrom: str, method: str = "AT") -> str:
+def write_bubble_summary(summary: DataFrame, folder: str, chrom: str, method: str = "AT", single: bool = True) -> str:
     """A tab-separated table named after chromosome and method; AT is the only method."""
     if method != "AT":
         raise ValueError("the only method is AT")
     path = str(Path(folder) / f"bubble_variant_counts_{chrom}_{method}.tsv") if "://" not in folder else f"{folder}/bubble_variant_counts_{chrom}_{method}.tsv"
     names = {"bubble": "Bubble", "level": "Level", "total_count": "Total_count", "within_count": "Within_count", "crossing_count": "Crossing_count", "within": "Within", "crossing": "Crossing"}
-    summary.select([F.col(a).alias(b) for a, b in names.items()]).orderBy("Bubble").coalesce(1).write.mode("overwrite").csv(path, header=True, sep="\t")
+    write_table(summary.select([F.col(a).alias(b) for a, b in names.items()]), path, "Bubble", single, "\t")
     return path
 
 
