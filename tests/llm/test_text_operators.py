@@ -332,6 +332,20 @@ def test_network_learns_from_all_documents_and_scores_new_ones_better_than_count
     assert mean > -0.4 and base < -0.85  # the sampled document alone doesn't teach that
 
 
+def test_symbols_grow_with_the_tokens():
+    p = recurrent_lm.Params()
+    assert [p.symbols(n) for n in (0, 10**6, 4 * 10**6, 10**9)] == [2048, 2048, 4000, 8192]
+
+
+def test_held_out_likelihood_stays(spark):
+    """The network of 2,048 symbols and 32 units that this operator had at first reached -3.836 a token on this table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = fold(F.col("doc_id"), 7) == 2
+    out = recurrent_lm.score(docs, recurrent_lm.fit(docs, lambda d: fold(d, 7) != 2), held).where("held_out")
+    mean, base = out.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert mean > -3.836 and base < -4.06
+
+
 def test_pieces():
     ids, offsets = np.arange(10, 40), np.array([0, 7, 7, 8, 30])
     ends, first = recurrent_lm.pieces_of(ids, offsets, 5)

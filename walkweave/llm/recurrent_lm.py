@@ -26,21 +26,28 @@ OTHER, END = 0, 1  # the network's symbols for words that it doesn't have and fo
 
 @dataclass(frozen=True)
 class Params:
-    """vocabulary: the network's symbols. per_class: symbols of an output class. hidden: units. sample: about so many training documents by which the network begins (picked by a hash
-    of their row numbers; then it learns from all, as the counts do). head: most words whose counts are sent to all tasks. window: steps of truncated backpropagation.
+    """vocabulary: the fewest symbols of the network; they grow as twice the square root of the training tokens, up to `most` (a network is held by every task).
+    per_class: symbols of an output class. hidden: units. sample: about so many training documents by which the network begins (picked by a hash
+    of their row numbers; then it learns from all, as the counts do). rounds: after each of so many parts of the documents the shards' networks are averaged and sent out again.
+    head: most words whose counts are sent to all tasks. window: steps of truncated backpropagation.
     lanes: texts trained side by side. piece: steps after which training begins a long text's state anew; scoring never does."""
 
-    vocabulary: int = 1024
-    per_class: int = 32
-    hidden: int = 16
+    vocabulary: int = 2048
+    most: int = 8192
+    per_class: int = 64
+    hidden: int = 32
     sample: int = 4000
+    rounds: int = 2
     head: int = 150_000
-    window: int = 16
-    lanes: int = 400
+    window: int = 32
+    lanes: int = 100
     piece: int = 512
-    rate: float = 4e-3
+    rate: float = 2e-2
     seed: int = 5
 
+    def symbols(self, tokens: int) -> int:
+        return max(self.vocabulary, min(self.most, 2 * math.isqrt(tokens)))
+
 
 @dataclass
 class Network:
@@ -74,11 +81,19 @@ def new_network(unigram: np.ndarray, p: Params) -> Network:
     return Network(draw(c * k, 3 * h, scale=0.1), draw(h, 3 * h, scale=1 / math.sqrt(h)), np.zeros(3 * h, np.float32), draw(c, h, scale=0.02), np.log(mass.sum(1) / mass.sum()).astype(np.float32), draw(c, k, h, scale=0.02), bias.astype(np.float32))
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _step(net: Network, h: np.ndarray, x: np.ndarray):
     n = h.shape[1]
     a = net.inputs[x] + net.gate
     u = h @ net.state
-    gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + u[:, : 2 * n])))
+    gates = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
     z, r = gates[:, :n], gates[:, n:]
     c = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
     return c + z * (h - c), z, r, c, u[:, 2 * n :]
@@ -214,7 +229,7 @@ class Learner:
             np.multiply(h, going[t], out=before[t])
             both = before[t] @ net.state
             u[t] = both[:, 2 * n :]
-            gates[t] = 1 / (1 + np.exp(-(added[t, :, : 2 * n] + both[:, : 2 * n])))
+            _sigmoid(np.add(added[t, :, : 2 * n], both[:, : 2 * n], out=gates[t]))
             np.tanh(added[t, :, 2 * n :] + gates[t, :, n:] * u[t], out=c[t])
             h = np.add(c[t], gates[t, :, :n] * (before[t] - c[t]), out=kept[t])
         z, r = gates[:, :, :n], gates[:, :, n:]
@@ -283,7 +298,7 @@ def fit(docs: DataFrame, learn, p: Params = Params(), column: str = "text") -> M
     head = counts.orderBy(F.desc("c"), "word").limit(p.head).toArrow()
     word, count = head.column("word").to_numpy(), head.column("c").to_numpy()
     order = np.lexsort((word, -count))
-    own = order[: p.vocabulary - 2]
+    own = order[: p.symbols(words + ends) - 2]
     symbol = np.zeros(len(word), np.int32)
     symbol[own] = np.arange(len(own)) + 2
     rest = words - int(count[own].sum())
@@ -292,10 +307,12 @@ def fit(docs: DataFrame, learn, p: Params = Params(), column: str = "text") -> M
     model = Model(new_network(unigram, p), word[by_hash], count[by_hash], symbol[by_hash], words + ends, types + (ends > 0), rest + types - len(own) + 1, ends, counts)
     if ends:
         # A network that one task has taught by a few documents is where all shards begin; then every training document is learnt from.
-        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) < min(1.0, p.sample / ends) * (1 << 20)
-        some = training.select(hashes.alias("w"), part.alias("part")).where("part").select("w")
-        model.network = learn_all(some.repartition(1), model, p)
-        model.network = learn_all(training.select(hashes.alias("w")), model, p)
+        dealt = training.select(F.col(column), F.xxhash64(F.monotonically_increasing_id()).alias("part"))
+        some = dealt.where(F.pmod("part", F.lit(1 << 20)) < min(1.0, p.sample / ends) * (1 << 20))
+        model.network = learn_all(some.select(hashes.alias("w")).repartition(1), model, p)
+        for i in range(p.rounds):
+            mine = dealt.where(F.pmod(F.shiftright("part", 20), F.lit(p.rounds)) == i)
+            model.network = learn_all(mine.select(hashes.alias("w")), model, p)
     return model
 
 
