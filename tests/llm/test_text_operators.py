@@ -210,8 +210,10 @@ def test_the_rule_places_most_tokens_of_small_partitions(spark):
 # --- Order MinHash
 
 
-def test_fingerprints_by_definition(spark):
-    """Bins, picks and order as written down, with the k-mers' hashes taken from Spark."""
+@pytest.mark.parametrize("short", [24, 4])
+def test_fingerprints_by_definition(spark, monkeypatch, short):
+    """Bins, picks and order as written down, with the k-mers' hashes taken from Spark. Texts of more than 2^short units take the packing of the longest ones."""
+    monkeypatch.setattr(order_minhash, "PLACE", short)
     texts = ["a b c a b c a b c d e f", "one", "", "w " * 50, " ".join(f"t{i % 7}" for i in range(90))]
     bins, picks, k = 8, 2, 3
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -224,14 +226,15 @@ def test_fingerprints_by_definition(spark):
         u = texts[row.doc_id].split()
         grams = [tuple(u[i : i + k]) for i in range(len(u) - k + 1)] if len(u) >= k else [(" ".join(u),)] if u else []
         seen, items = Counter(), []
+        cut = 30 if len(u) > 1 << short else short
+        head = lambda x: (x << cut & (1 << 64) - 1) >> cut  # noqa: B023, E731
+        sign = lambda x: x - ((x >> 63 - cut & 1) << 64 - cut)  # noqa: B023, E731
         for at, g in enumerate(grams):
-            h = (hash_of(g, ["string"] * len(g)) << 24 & (1 << 64) - 1) >> 24
-            h -= (h >> 39 & 1) << 40
+            h = sign(head(hash_of(g, ["string"] * len(g))))
             o = seen[g]
             seen[g] += 1
-            v = (hash_of((h, o), ["long", "int"]) << 24 & (1 << 64) - 1) >> 24
-            signed = v - ((v >> 39 & 1) << 40)
-            items.append((v >> 37, signed, at))
+            v = head(hash_of((h, o), ["long", "int"]))
+            items.append((v >> 61 - cut, sign(v), at))
         want = [None] * bins
         for b in range(bins):
             best = sorted((s, at) for x, s, at in items if x == b)[:picks]
@@ -241,6 +244,13 @@ def test_fingerprints_by_definition(spark):
         assert row.sig == want
 
 
+def test_fingerprints_keep_columns_of_any_name(spark):
+    names = ["u", "km", "runs", "e", "filled", "entries", "place", "doc_id"]
+    df = spark.createDataFrame([("a b c d", *names)], ["text", *names])
+    out = order_minhash.fingerprints(df)
+    assert out.columns == [*df.columns, "fingerprint"] and out.select(names).first() == tuple(names)
+
+
 def test_edited_texts(docs, empty):
     out = order_minhash.edited(docs).toPandas()
     assert len(out) == docs.count() and order_minhash.edited(empty).count() == 0

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import cut, parts_for, shuffle_partitions, text_of
 
 UNIT = 16
-#: A k-mer is packed into 64 bits: its hash above, its position below.
-PLACE = 24
+#: A k-mer is packed into 64 bits: its hash above, its position below. Positions take PLACE bits, or LONG_PLACE in texts of more units (Spark's strings have less than 2^31 bytes, so no text has more).
+PLACE, LONG_PLACE = 24, 30
 #: Most cells into which ids are dealt in order.
 CELLS = 1 << 16
 
@@ -24,53 +24,61 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{UNIT}}}"), F.lit(0))
 
 
-def kmers(text: Column, k: int) -> Column:
-    """Per k-mer: hash (upper bits) and position (PLACE bits). A text of fewer units is one k-mer; one without units has none; one of more than 2^PLACE is an error."""
-    u = units(text)
-    whole = F.array(F.shiftleft(F.xxhash64(F.array_join(u, " ")), PLACE))
-    n = F.size("u") - k
-    # A text of more units than places would mix positions and hashes: an error tells.
-    n = F.when(n >= 1 << PLACE, F.raise_error(F.lit("a text has too many words for a fingerprint")).cast("int")).otherwise(n)
-    each = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.shiftleft(F.xxhash64(*[F.get("u", i + j) for j in range(k)]), PLACE).bitwiseOR(i.cast("long")))
-    return u, F.when(F.size("u") == 0, F.array().cast("array<long>")).when(n < 0, whole).otherwise(each)
+def up(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", x, bits)
+
+
+def down(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", x, bits)
+
+
+def kmers(k: int) -> Column:
+    """Per k-mer of the units `__u`: hash (upper bits) and position (the lower `__place` bits). A text of fewer units is one k-mer; one without units has none."""
+    bits = F.col("__place")
+    whole = F.array(up(F.xxhash64(F.array_join("__u", " ")), bits))
+    n = F.size("__u") - k
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: up(F.xxhash64(*[F.get("__u", i + j) for j in range(k)]), bits).bitwiseOR(i.cast("long")))
+    return F.when(F.size("__u") == 0, F.array().cast("array<long>")).when(n < 0, whole).otherwise(each)
 
 
 def with_signature(rows: DataFrame, text: str, name: str, k: int, bins: int, picks: int) -> DataFrame:
-    """Adds the column `name`: an array of `bins` entries, null where a bin is empty. All is computed within the row."""
-    u, all_kmers = kmers(F.col(text), k)
-    low = (1 << PLACE) - 1
-    head = lambda x: F.shiftright(x, PLACE)
-    rows = rows.withColumn("u", u).withColumn("km", F.sort_array(all_kmers)).drop("u")
-    size = F.size("km")
+    """Adds the column `name`: an array of `bins` entries, null where a bin is empty. All is computed within the row.
+
+    Hashes have 40 bits beside the position, 34 in texts of more than 2^PLACE units; equal texts have equal entries either way."""
+    head = lambda x: down(x, F.col("__place"))
+    low = up(F.lit(1).cast("long"), F.col("__place")) - 1
+    rows = rows.withColumn("__u", units(F.col(text))).withColumn("__place", F.when(F.size("__u") > 1 << PLACE, LONG_PLACE).otherwise(PLACE))
+    rows = rows.withColumn("__km", F.sort_array(kmers(k))).drop("__u")
+    size = F.size("__km")
     # Runs of equal k-mers stand together once sorted, in the order of their positions: a k-mer's place in its run is the number of its occurrence.
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i == 0) | (head(F.get("km", i)) != head(F.get("km", i - 1))))
-    rows = rows.withColumn("runs", F.when(size > 0, starts).otherwise(F.array().cast("array<int>")))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i == 0) | (head(F.get("__km", i)) != head(F.get("__km", i - 1))))
+    rows = rows.withColumn("__runs", F.when(size > 0, starts).otherwise(F.array().cast("array<int>")))
     # The new hash: bin, then the rank within it, then the position. It depends on k-mer and occurrence, not on the position.
-    number = lambda x, o: F.shiftleft(F.xxhash64(head(x), o), PLACE).bitwiseOR(x.bitwiseAND(low))
-    first = F.transform("runs", lambda s: number(F.get("km", s), F.lit(0)))
+    number = lambda x, o: up(F.xxhash64(head(x), o), F.col("__place")).bitwiseOR(x.bitwiseAND(low))
+    first = F.transform("__runs", lambda s: number(F.get("__km", s), F.lit(0)))
     # Elements are taken by their places: slice() would copy the whole array for each run.
-    after = lambda s, r: F.transform(F.sequence(s + 1, F.coalesce(F.get("runs", r + 1), size) - 1), lambda i: number(F.get("km", i), i - s))
-    longer = F.filter(F.transform("runs", lambda s, r: F.when(F.coalesce(F.get("runs", r + 1), size) - s > 1, F.struct(s.alias("s"), r.alias("r")))), lambda x: x.isNotNull())
+    after = lambda s, r: F.transform(F.sequence(s + 1, F.coalesce(F.get("__runs", r + 1), size) - 1), lambda i: number(F.get("__km", i), i - s))
+    longer = F.filter(F.transform("__runs", lambda s, r: F.when(F.coalesce(F.get("__runs", r + 1), size) - s > 1, F.struct(s.alias("s"), r.alias("r")))), lambda x: x.isNotNull())
     more = F.flatten(F.transform(longer, lambda x: after(x["s"], x["r"])))
-    numbered = F.when(F.size("runs") == size, first).otherwise(F.concat(first, more))
-    rows = rows.withColumn("km", F.sort_array(numbered)).drop("runs")
+    numbered = F.when(F.size("__runs") == size, first).otherwise(F.concat(first, more))
+    rows = rows.withColumn("__km", F.sort_array(numbered)).drop("__runs")
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - (bins - 1).bit_length())
     # Sorted as signed numbers, bins come in the order of their signed top bits; each bin's entries stand together, smallest first.
-    best = F.filter("km", lambda x, i: (i < picks) | (bin_of(F.get("km", i - picks)) != bin_of(x)))
-    rows = rows.withColumn("km", best)
+    best = F.filter("__km", lambda x, i: (i < picks) | (bin_of(F.get("__km", i - picks)) != bin_of(x)))
+    rows = rows.withColumn("__km", best)
     # Back to the order of the text: bin, position; the hash comes along.
-    placed = F.array_sort(F.transform("km", lambda x: F.struct(bin_of(x).alias("b"), x.bitwiseAND(low).alias("p"), head(x).alias("h"))))
-    rows = rows.withColumn("km", placed)
-    ends = F.filter(F.transform("km", lambda x, i: F.when((i == F.size("km") - 1) | (F.get("km", i + 1)["b"] != x["b"]), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("e", ends)
+    placed = F.array_sort(F.transform("__km", lambda x: F.struct(bin_of(x).alias("b"), x.bitwiseAND(low).alias("p"), head(x).alias("h"))))
+    rows = rows.withColumn("__km", placed)
+    ends = F.filter(F.transform("__km", lambda x, i: F.when((i == F.size("__km") - 1) | (F.get("__km", i + 1)["b"] != x["b"]), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("__e", ends)
 
     def entry(i: Column, r: Column) -> Column:
-        begin = F.coalesce(F.get("e", r - 1) + 1, F.lit(0))
-        return F.xxhash64(F.transform(F.sequence(begin, i), lambda j: F.get("km", j)["h"]))
+        begin = F.coalesce(F.get("__e", r - 1) + 1, F.lit(0))
+        return F.xxhash64(F.transform(F.sequence(begin, i), lambda j: F.get("__km", j)["h"]))
 
-    rows = rows.withColumns({"filled": F.transform("e", lambda i: F.get("km", i)["b"]), "entries": F.transform("e", entry)})
-    spread = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.get("entries", F.array_position("filled", b.cast("long")).cast("int") - 1))
-    return rows.withColumn(name, F.when(F.size("e") == bins, F.col("entries")).otherwise(spread)).drop("km", "e", "filled", "entries")
+    rows = rows.withColumns({"__filled": F.transform("__e", lambda i: F.get("__km", i)["b"]), "__entries": F.transform("__e", entry)})
+    spread = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.get("__entries", F.array_position("__filled", b.cast("long")).cast("int") - 1))
+    return rows.withColumn(name, F.when(F.size("__e") == bins, F.col("__entries")).otherwise(spread)).drop("__km", "__e", "__filled", "__entries", "__place")
 
 
 def likeness(a: str, b: str) -> Column:
