@@ -268,7 +268,9 @@ def test_edited_texts(docs, empty):
 @pytest.mark.parametrize("ids", [[*range(3000), 2**40], [i % 2 for i in range(3000)], [None if i % 3 else i for i in range(3000)], [7] * 3000, [-(2**63), *range(200), 2**63 - 1]])
 def test_neighbours_share_out_sparse_and_equal_ids(spark, ids):
     rows = spark.createDataFrame([(x, f"text {i}") for i, x in enumerate(ids)], "doc_id long, text string")
-    dealt = order_minhash.neighbours(rows, 50).withColumn("h", F.xxhash64("text")).collect()
+    dealt, repeated = order_minhash.neighbours(rows, 50)
+    assert repeated is None
+    dealt = dealt.withColumn("h", F.xxhash64("text")).collect()
     held = Counter(r.bucket for r in dealt if not r.ghost)
     assert sum(held.values()) == len(ids) and max(held.values()) <= 150
     order = sorted(((r.doc_id, r.h) for r in dealt if not r.ghost), key=lambda x: (x[0] is None, -(x[0] or 0), -x[1]))
@@ -280,6 +282,20 @@ def test_neighbours_share_out_sparse_and_equal_ids(spark, ids):
         assert own[-1].ghost
 
 
+@pytest.mark.parametrize("name", [7, None])
+def test_equal_rows_are_dealt_once(spark, name):
+    """20,000 rows of one id and text among others: no bucket holds them, each has its own text as the next, the last one the text that follows."""
+    many = [(name, "same words again and again")] * 20_000
+    rows = spark.createDataFrame(many + [(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    dealt, repeated = order_minhash.neighbours(rows, 50)
+    assert repeated.count() == 19_999 and dealt.count() <= 100
+    got = Counter(r.edited_sha256 for r in order_minhash.edited(rows).where(F.col("n_chars") == len(many[0][1])).collect())
+    text, half = many[0][1], len(many[0][1]) // 2
+    sha = lambda after: hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    follows = [sha("text 6"), sha("text 7")] if name else [sha("text 19")]  # two texts have the id 7, in the order of their hashes
+    assert sum(got.values()) == 20_000 and got.pop(sha(text)) == 19_999 and set(got) <= set(follows)
+
+
 def test_edits_lower_likeness_and_order_counts(spark):
     rng = random.Random(8)
     a = prose(rng, 400, 5000).split()

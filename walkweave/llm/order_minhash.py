@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, shuffle_partitions, text_of
+from .common import cut, same_row, shuffle_partitions, text_of
 
 UNIT = 16
 #: A k-mer is packed into 64 bits: its hash above, its position below. Positions take PLACE bits, or LONG_PLACE in texts of more units (Spark's strings have less than 2^31 bytes, so no text has more).
@@ -94,51 +94,65 @@ def as_text(signature: str) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit("-" * 16))), "")
 
 
-def neighbours(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
-    """Deals rows out in buckets of consecutive ids and adds each bucket's next row of the bucket below: columns bucket, ghost (a row that only serves as a neighbour), wrap.
+def neighbours(docs: DataFrame, per_bucket: int = 4000) -> tuple[DataFrame, DataFrame | None]:
+    """Deals rows out in buckets of consecutive ids and adds each bucket's next row of the bucket below: columns bucket, ghost (a row that only serves as a neighbour), wrap, __h and __h2 (hashes of the text).
 
     Buckets lie between quantiles of the ids themselves, so outliers and gaps don't matter; an id (or null) that fills more than one bucket is divided by the hash of the texts. Up to CELLS buckets have
-    per_bucket rows, more rows make them larger. Rows that agree in id and text are neighbours of each other and stay in one bucket. Only ids and hashes are read for that, and a number per bucket comes to the driver.
-    Null ids come last; the last document's neighbour is the first."""
+    per_bucket rows, more rows make them larger. Only ids and hashes are read for that, and a number per bucket comes to the driver. Null ids come last; the last document's neighbour is the first.
+    Rows that agree in id and text follow each other. Where they would fill a bucket, only one of them is dealt; the others, each of which has its own text as the next, are the second table (None: there are none)."""
     spark = docs.sparkSession
-    ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    docs_columns = docs.columns
+    docs = docs.withColumns({"__uid": F.monotonically_increasing_id(), "__h": F.xxhash64("text"), "__h2": F.xxhash64(F.lit("again"), "text")})
+    ids = cut(docs.select("__uid", "doc_id", "__h", "__h2"), "minhash-ids")
     count, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    added = ["__h", "__h2"]
     if not count:
-        return docs.select("*", F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("ghost"), F.lit(False).alias("wrap"))
-    per_bucket = max(1, min(per_bucket, -(-count // shuffle_partitions(spark))))
-    cells = max(1, min(CELLS, -(-count // per_bucket)))
+        return docs.select(*docs_columns, *added, F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("ghost"), F.lit(False).alias("wrap")), None
+    per_bucket = max(1, min(per_bucket, -(-count // shuffle_partitions(spark))), -(-count // CELLS))
+    cells = -(-count // per_bucket)
+    # Texts that alone fill a bucket: fewer than there are cells.
+    many = ids.groupBy("doc_id", "__h", "__h2").agg(F.count(F.lit(1)).alias("n"), F.max("__uid").alias("stays")).where(F.col("n") > per_bucket)
+    many = cut(many.select(F.col("doc_id").alias("many_id"), F.col("__h").alias("many_h"), F.col("__h2").alias("many_h2"), "stays"), "minhash-many")
+    same = F.col("doc_id").eqNullSafe(F.col("many_id")) & (F.col("__h") == F.col("many_h")) & (F.col("__h2") == F.col("many_h2"))
+    repeated = None
+    if not many.isEmpty():
+        repeats = lambda rows: rows.join(F.broadcast(many), same & (F.col("__uid") != F.col("stays")), "left_semi")
+        others = lambda rows: rows.join(F.broadcast(many), same & (F.col("__uid") != F.col("stays")), "left_anti")
+        repeated = repeats(docs).select(*docs_columns, *added)
+        docs, ids = others(docs), others(ids)
     cuts: list[int] = []
     if known:
         # An id that is several quantiles gets a cell of its own, from itself to the next number.
         shares = np.arange(1, cells) / cells if cells > 1 else np.array([0.5])
-        found = ids.agg(F.percentile_approx("doc_id", F.lit(shares), max(1000, 10 * cells))).first()[0]
+        found = ids.agg(F.percentile_approx("doc_id", F.lit(shares), max(1000, 10 * cells))).first()[0] or []
         cuts = sorted({*found, *(x + 1 for x, y in zip(found, found[1:]) if x == y and x < (1 << 63) - 1)})
     # How many cuts are at or below the id, by halving; 0 is for null.
     limits, steps = F.lit(np.array(cuts or [0], np.int64)), [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
     below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(limits, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)) if cuts else F.lit(0)
     cell = F.when(F.col("doc_id").isNull(), 0).otherwise(below + 1)
     held = ids.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("doc_id") == F.max("doc_id"), F.lit(True)).alias("one")).collect()
-    parts = {r.cell: min(1024, -(-r.n // per_bucket)) for r in held if r.one and r.n > 2 * per_bucket}
+    parts = {r.cell: -(-r.n // per_bucket) for r in held if r.one and r.n > 2 * per_bucket}
     part = F.lit(0).cast("long")
     if parts:
-        share = (F.shiftright("h", 33) + (1 << 30)).cast("double") / float(1 << 31)
+        share = (F.shiftright("__h", 33) + (1 << 30)).cast("double") / float(1 << 31)
         wide = F.get(F.lit(np.array([parts.get(c, 1) for c in range(len(cuts) + 2)])), F.col("cell"))
         # Rows of an id go by their hashes downward, so the highest share of them is the lowest bucket.
         part = F.floor(share * wide).cast("long")
-    bucket = F.col("cell").cast("long") * 1024 + part
-    ids = ids.withColumn("cell", cell).select("doc_id", "h", bucket.alias("bucket"))
-    firsts = cut(ids.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("first")).select("bucket", "first.*"), "minhash-firsts")
+    bucket = F.col("cell").cast("long") * CELLS + part
+    ids = ids.withColumn("cell", cell).withColumn("bucket", bucket)
+    firsts = cut(ids.groupBy("bucket").agg(F.max(F.struct("doc_id", "__h", "__h2", "__uid")).alias("first")).select("bucket", "first.__uid", "first.__h"), "minhash-firsts")
     # The first document of each bucket also stands in the bucket that comes before it (they are counted down), that of the very first bucket in the last one.
     # One row per bucket is ordered in one task.
     order = Window.orderBy(F.desc("bucket"))
     ghosts = firsts.withColumn("to", F.lag("bucket").over(order)).withColumn("last", F.min("bucket").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ghosts = ghosts.select(F.col("doc_id").alias("first_id"), F.col("h").alias("first_h"), F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wrap"))
+    ghosts = ghosts.select("__uid", F.col("__h").alias("first_h"), F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wrap"))
     side = F.broadcast(cut(ghosts, "minhash-ghosts"))  # a row per bucket: at most 2 * CELLS and the parts of ids that fill buckets
-    dealt = docs.withColumns({"cell": cell, "h": F.xxhash64("text")}).withColumn("bucket", bucket)
+    dealt = docs.withColumn("cell", cell).withColumn("bucket", bucket)
     own = F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost"), F.lit(False).alias("wrap")))
-    joined = dealt.join(side, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")), "left")
-    more = F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(F.struct(F.col("to").alias("bucket"), F.lit(True).alias("ghost"), F.col("wrap").alias("wrap")))))
-    return joined.select(*docs.columns, F.explode(more).alias("m")).select(*docs.columns, "m.*")
+    joined = dealt.join(side, "__uid", "left")
+    to = F.when(F.col("to").isNotNull(), same_row(joined, "__h", "first_h", "to"))
+    more = F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(F.struct(to.alias("bucket"), F.lit(True).alias("ghost"), F.col("wrap").alias("wrap")))))
+    return joined.select(*docs_columns, *added, F.explode(more).alias("m")).select(*docs_columns, *added, "m.*"), repeated
 
 
 def fingerprints(docs: DataFrame, column: str = "text", k: int = 3, bins: int = 64, picks: int = 2, name: str = "fingerprint") -> DataFrame:
@@ -152,11 +166,15 @@ def edited(docs: DataFrame, k: int = 3, bins: int = 64, picks: int = 2, column:
 
     A document's edited text has its last floor(n_chars / 2) code points replaced by as many of the first ones (or all) of the next document by descending doc_id. Rows of the same id follow each
     other by the hash of their texts, downward; null ids come last, and after the last row comes the first. Null texts are empty. A table of one row has itself as the next. No rows give none."""
-    rows = docs.select("doc_id", text_of(column).alias("text"))
-    rows = with_signature(rows, "text", "sig", k, bins, picks)
-    dealt = neighbours(rows)
-    order = Window.partitionBy("bucket").orderBy("wrap", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
-    dealt = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sig", F.lead("sig").over(order)).where("not ghost")
+    dealt, repeated = neighbours(docs.select("doc_id", text_of(column).alias("text")))
+    # Signatures are made once the texts have met, so that only texts are sent.
+    dealt = with_signature(dealt.repartition("bucket"), "text", "sig", k, bins, picks)
+    order = Window.partitionBy("bucket").orderBy("wrap", F.col("doc_id").desc_nulls_last(), F.desc("__h"), F.desc("__h2"))
+    columns = ["doc_id", "text", "sig", "next_text", "next_sig"]
+    dealt = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sig", F.lead("sig").over(order)).where("not ghost").select(columns)
+    if repeated:
+        repeated = with_signature(repeated, "text", "sig", k, bins, picks)
+        dealt = dealt.union(repeated.withColumns({"next_text": F.col("text"), "next_sig": F.col("sig")}).select(columns))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     new = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
