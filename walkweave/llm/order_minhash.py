@@ -2,7 +2,8 @@
 
 A text's units are its words, a long word being cut into units of UNIT code points. Each k-mer of units, together with the number of its occurrence in the text, gets a hash. The hash picks one of
 `bins` bins (one permutation hashing, Li, Owen and Zhang 2012, so a text is hashed once and not once per signature entry); of each bin the `picks` smallest are selected, put back into
-the order in which they stand in the text, and hashed as a tuple: that is the bin's entry. Equal entries need the same k-mers in the same order, so likeness follows the edit distance, not only the shared k-mers.
+the order in which they stand in the text, and hashed as a tuple: that is the bin's entry. A bin of fewer k-mers takes more from the bins that follow (densification by rotation, Shrivastava and Li 2014),
+so that entries of short texts are tuples as well and depend on the order; a bin without any stays empty. Equal entries need the same k-mers in the same order, so likeness follows the edit distance, not only the shared k-mers.
 """
 
 from __future__ import annotations
@@ -66,19 +67,21 @@ def with_signature(rows: DataFrame, text: str, name: str, k: int, bins: int, pic
     # Sorted as signed numbers, bins come in the order of their signed top bits; each bin's entries stand together, smallest first.
     best = F.filter("__km", lambda x, i: (i < picks) | (bin_of(F.get("__km", i - picks)) != bin_of(x)))
     rows = rows.withColumn("__km", best)
-    # Back to the order of the text: bin, position; the hash comes along.
-    placed = F.array_sort(F.transform("__km", lambda x: F.struct(bin_of(x).alias("b"), x.bitwiseAND(low).alias("p"), head(x).alias("h"))))
-    rows = rows.withColumn("__km", placed)
-    ends = F.filter(F.transform("__km", lambda x, i: F.when((i == F.size("__km") - 1) | (F.get("__km", i + 1)["b"] != x["b"]), i)), lambda i: i.isNotNull())
+    ends = F.filter(F.transform("__km", lambda x, i: F.when((i == F.size("__km") - 1) | (bin_of(F.get("__km", i + 1)) != bin_of(x)), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("__e", ends)
 
     def entry(i: Column, r: Column) -> Column:
         begin = F.coalesce(F.get("__e", r - 1) + 1, F.lit(0))
-        return F.xxhash64(F.transform(F.sequence(begin, i), lambda j: F.get("__km", j)["h"]))
+        # A bin of fewer k-mers goes on with those of the bins after it, around the end.
+        taken = F.transform(F.sequence(F.lit(0), F.least(F.lit(picks), F.size("__km")) - 1), lambda j: F.get("__km", F.pmod(begin + j, F.size("__km"))))
+        placed = F.sort_array(F.transform(taken, lambda x: F.struct(x.bitwiseAND(low).alias("p"), head(x).alias("h"))))
+        return F.xxhash64(placed["h"])
 
-    rows = rows.withColumns({"__filled": F.transform("__e", lambda i: F.get("__km", i)["b"]), "__entries": F.transform("__e", entry)})
+    rows = rows.withColumns({"__filled": F.transform("__e", lambda i: bin_of(F.get("__km", i))), "__entries": F.transform("__e", entry)})
     spread = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.get("__entries", F.array_position("__filled", b.cast("long")).cast("int") - 1))
-    return rows.withColumn(name, F.when(F.size("__e") == bins, F.col("__entries")).otherwise(spread)).drop("__km", "__e", "__filled", "__entries", "__place")
+    # Where no bin is empty, the upper half, whose signed top bits are negative, stands first.
+    turned = F.concat(F.slice("__entries", bins // 2 + 1, bins // 2), F.slice("__entries", 1, bins // 2))
+    return rows.withColumn(name, F.when(F.size("__e") == bins, turned).otherwise(spread)).drop("__km", "__e", "__filled", "__entries", "__place")
 
 
 def likeness(a: str, b: str) -> Column:
