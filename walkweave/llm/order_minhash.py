@@ -168,7 +168,8 @@ def edited(docs: DataFrame, k: int = 3, bins: int = 64, picks: int = 2, column:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A document's edited text has its last floor(n_chars / 2) code points replaced by as many of the first ones (or all) of the next document by descending doc_id. Rows of the same id follow each
-    other by the hash of their texts, downward; null ids come last, and after the last row comes the first. Null texts are empty. A table of one row has itself as the next. No rows give none."""
+    other by the hash of their texts, downward; null ids come last, and after the last row comes the first. Null texts are empty. A table of one row has itself as the next. No rows give none. Texts of any length are read as a whole, each within a row: one of 16.8 million units took 70 s in a JVM of 20 GB.
+    Rows are read twice; where a row that stands in two buckets has another text the second time, it is an error."""
     dealt, repeated = neighbours(docs.select("doc_id", text_of(column).alias("text")))
     # Signatures are made once the texts have met, so that only texts are sent.
     dealt = with_signature(dealt.repartition("bucket"), "text", "sig", k, bins, picks)
