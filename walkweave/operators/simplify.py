@@ -43,7 +43,7 @@ def default_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def delete_tips(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Removes dead ends: a node with one way in and none out that is no end point, then its predecessor if that is left so, and so on; twins too. Ways out are counted down, ways in never,
-    and end points are spared at the start of a climb only. A round takes all tips at once and writes what is left."""
+    and end points stay and end a climb, so a tip that hangs on the last node of a reference doesn't take the reference along. A round takes all tips at once and writes what is left."""
     d = materialise(degrees(nodes, edges), "degrees")
     climb = d.where("ins = 1 and outs = 0").join(endpoints, ["graph_id", "node"], "left_anti").select("graph_id", "node")
     gone = materialise(climb, "tips")
@@ -51,7 +51,7 @@ def delete_tips(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame) -> tup
     while not front.isEmpty():
         above = front.join(edges.select("graph_id", F.col("v").alias("node"), "u"), ["graph_id", "node"]).groupBy("graph_id", F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("lost"))
         d = materialise(d.join(above, ["graph_id", "node"], "left").select("graph_id", "node", "ins", (F.col("outs") - F.coalesce("lost", F.lit(0))).alias("outs"), F.col("lost").isNotNull().alias("hit")), "degrees")
-        front = materialise(d.where("hit and ins = 1 and outs = 0").select("graph_id", "node").join(gone, ["graph_id", "node"], "left_anti"), "tips")
+        front = materialise(d.where("hit and ins = 1 and outs = 0").select("graph_id", "node").join(endpoints, ["graph_id", "node"], "left_anti").join(gone, ["graph_id", "node"], "left_anti"), "tips")
         d, gone = d.drop("hit"), materialise(gone.union(front), "tips")
     both = gone.union(gone.select("graph_id", node_complement("node").alias("node"))).distinct()
     left = nodes.join(both, ["graph_id", "node"], "left_anti")
