@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, cut, scope, shuffle_partitions, text_of
 
-#: Runs of ASCII letters and of all characters from U+0080 on.
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Terms are runs of ASCII letters and of all characters from U+0080 on; these stand between them.
+BETWEEN = "".join(map(chr, (*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
 
 
 @dataclass(frozen=True)
@@ -25,9 +25,10 @@ class Params:
 
 def term_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows with the term). A row's terms are sorted, so that each one's first occurrence shows by its neighbour and one shuffle counts both; it carries a row per term and task."""
-    terms = F.sort_array(F.regexp_extract_all(F.translate(text_of(column), UPPER, LOWER), F.lit(TERM), F.lit(0)))
+    # One pass of translate() lower-cases and makes all that stands between terms spaces, so the split needs no pattern, which took most of the time. Empty pieces sort first and are left out as rows.
+    terms = F.sort_array(F.split(F.translate(text_of(column), UPPER + BETWEEN, LOWER + " " * len(BETWEEN)), " "))
     pairs = F.arrays_zip(terms.alias("term"), F.concat(F.array(F.lit("")), terms).alias("before"))
-    rows = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), F.inline(pairs).alias("term", "before")).where("term is not null")
+    rows = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), F.inline(pairs).alias("term", "before")).where("term <> ''")
     return rows.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("term") != F.col("before")).alias("docs"))
 
 
