@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +25,46 @@ from walkweave.plans.build import walk_pairs
 log = logging.getLogger("jobs.word_graph")
 #: language, sample: columns of the documents that name a graph and a walk's sample. files_per_batch: files that a micro-batch takes at most; all are taken in the end.
 DEFAULTS = {"language": "lang", "sample": "source", "files_per_batch": 200}
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: What stands between words, beside spaces.
+BLANKS = "\t\n\x0b\x0c\r"
+#: Bytes of texts and rows of counts that a partition takes at most, on average: partitions grow with the input, so a task's memory doesn't.
+TEXT, ROWS = 16 << 20, 1 << 20
 COUNTS = "lang string, sample string, u string, v string, weight long, batch long"
 EDGES = "u string, v string, weight long, samples long, main boolean, lang string"
 
 
+@contextmanager
+def sized(spark: SparkSession, size: int, each: int):
+    """Shuffles inside get a partition for every `each` of the size, at least as many as the session's; Spark joins those that turn out small. Gives their number; the session's settings come back."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    changed = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        yield parts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def counted(documents: DataFrame, language: str, sample: str) -> DataFrame:
     """lang, sample, u, v, weight. Nulls count as ''; texts of fewer than two words have no edge. Tasks add up what they read before they shuffle, so a frequent pair is a row per task."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    walks = documents.select(text(language).alias("lang"), text(sample).alias("sample"), F.regexp_extract_all(text("text"), F.lit(WORD), F.lit(0)).alias("steps"))
+    words = F.array_remove(F.split(F.translate(text("text"), BLANKS, " " * len(BLANKS)), " "), "")
+    walks = documents.select(text(language).alias("lang"), text(sample).alias("sample"), words.alias("steps"))
     return walk_pairs(walks, "lang", "sample").groupBy("lang", "sample", "u", "v").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def touched(counts: DataFrame, number: int) -> DataFrame:
+    """The counts of the languages that a batch touches. Their names, a row each, go to the tasks: dealt by language, a language would be one task's."""
+    return counts.join(F.broadcast(counts.where(F.col("batch") == number).select("lang").distinct()), "lang", "left_semi")
+
+
 def graph(counts: DataFrame) -> DataFrame:
     """The edges of all counts: columns of EDGES."""
-    edges = counts.groupBy("lang", "sample", "u", "v").agg(F.sum("weight").alias("weight")).groupBy("lang", "u", "v").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("samples"))
+    # An edge has a row per sample and batch, so rows are dealt once, by edge, for both sums.
+    edges = counts.repartition("lang", "u", "v").groupBy("lang", "sample", "u", "v").agg(F.sum("weight").alias("weight")).groupBy("lang", "u", "v").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("samples"))
     # A frequent word has many ways on. The best is found by partial maxima, and the comparison is a join with one row per word, which Spark may split.
     best = edges.groupBy("lang", "u").agg(F.min(F.struct((-F.col("weight")).alias("w"), "v"))["v"].alias("best"))
     return edges.join(best, ["lang", "u"]).select("u", "v", "weight", "samples", (F.col("v") == F.col("best")).alias("main"), "lang")
@@ -66,14 +92,18 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str | None =
     read: list[int] = []
 
     def add(batch: DataFrame, number: int) -> None:
-        read.append(batch.count())
-        own = counted(batch, o["language"], o["sample"]).withColumn("batch", F.lit(number).cast("long"))
-        own.drop("batch").write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
-        counts = spark.read.schema(COUNTS).parquet(f"{out}/counts").where(F.col("batch") <= number)
-        touched = counts.where(F.col("batch") == number).select("lang").distinct()
-        edges = graph(counts.join(touched, "lang", "left_semi"))
-        edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{out}/edges")
-        log.info("batch %d: read %d documents, wrote %d rows of counts, %d languages of edges", number, read[-1], counts.where(F.col("batch") == number).count(), touched.count())
+        session = batch.sparkSession  # the stream's own
+        rows, size = batch.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
+        read.append(rows)
+        with sized(session, size, TEXT) as parts:
+            # Files may be large, so texts are dealt before their pairs are counted.
+            own = counted(batch.repartition(parts) if size > TEXT else batch, o["language"], o["sample"])
+            own.write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
+        counts = session.read.schema(COUNTS).parquet(f"{out}/counts").where(F.col("batch") <= number)
+        with sized(session, counts.count(), ROWS):
+            graph(touched(counts, number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{out}/edges")
+        of_batch = counts.where(F.col("batch") == number)
+        log.info("batch %d: read %d documents, wrote %d rows of counts, %d languages of edges", number, read[-1], of_batch.count(), of_batch.select("lang").distinct().count())
 
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", o["files_per_batch"]).parquet(streamed(documents, table.inputFiles()))
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint or f"{out}/checkpoint").trigger(availableNow=True).start()
