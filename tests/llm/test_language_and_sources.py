@@ -186,7 +186,7 @@ def test_audit_of_an_empty_table(empty):
 
 
 def test_terms_are_split_without_a_pattern(spark):
-    """op12 over its budget: a pattern took two fifths of the whole query's time. Every character below U+0180 and some beyond stand between, before and after letters."""
+    """op12 over its budget: a pattern took about two fifths of the time of counting terms. Every character below U+0180 and some beyond stand between, before and after letters."""
     ends = [*map(chr, range(0x180)), "İ", "K", " ", "　", "﻿", "\U0001f600"]
     texts = [f"Ab{c}{c}Cd {c}x{c}" for c in ends] + ["", " ", None, "aa a Aa aa"]
     docs = spark.createDataFrame([(i, t, "l", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
