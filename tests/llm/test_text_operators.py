@@ -411,6 +411,77 @@ def test_network_is_a_distribution_and_its_gradient_is_right():
     assert any((a != b).any() for a, b in zip(parts, net.parts(), strict=True)) and rng is not None
 
 
+def test_sets_of_classes_are_a_distribution_and_the_gradient_is_that_of_the_likelihood():
+    p = recurrent_lm.Params(vocabulary=30, per_class=4, hidden=5, direct=2, per_set=2)  # 8 classes, 6 of them in 3 sets
+    net = recurrent_lm.new_network(np.arange(30.0), p)
+    assert net.first.shape == (5, 5) and net.sets.shape == (3, 2, 5)
+    lines = [np.array([7, s]) for s in range(30)]
+    one = recurrent_lm.log_likelihood(net, np.array([7]), np.array([0, 1]))[0]
+    assert abs(np.exp(recurrent_lm.log_likelihood(net, np.concatenate(lines), np.arange(0, 62, 2)) - one).sum() - 1) < 1e-4
+    rng = np.random.default_rng(2)
+    ids = rng.choice([3, 3, 3, 9, 14, 28, 29], 3000).astype(np.int32)  # some classes are large, some small
+    off = np.arange(0, 3001, 6)
+    inputs, targets, owner, begins = recurrent_lm.lanes_of(ids, off, 500)
+    learner = recurrent_lm.Learner(net, p)
+    groups = list(recurrent_lm._by_group(inputs.ravel(), len(net.inputs), 1))
+    symbols = np.concatenate([np.arange(g.start, g.stop) if isinstance(g, slice) else g for g, *_ in groups])
+    assert sorted(symbols) == sorted(set(inputs.ravel()))
+    _, grads = learner.gradients(np.zeros((500, 5), np.float32), inputs, targets.ravel(), (owner.ravel() >= 0).astype(np.float32), begins, groups)
+    assert len(grads[0]) == len(symbols)  # no work for symbols that the window hasn't
+    full = [np.zeros_like(net.inputs), *grads[1:]]
+    full[0][symbols] = grads[0]
+    for part, g in zip(net.parts(), full, strict=True):
+        way = g / np.sqrt((g * g).sum())
+        old, loss = part.copy(), []
+        for side in (1e-2, -1e-2):
+            part[...] = old + np.float32(side) * way
+            loss.append(-recurrent_lm.log_likelihood(net, ids, off).sum() / len(ids))
+        part[...] = old
+        assert abs((loss[0] - loss[1]) / 2e-2 - np.sqrt((g * g).sum())) < 2e-2 * np.sqrt((g * g).sum()) + 1e-5
+
+
+def test_softmax_of_very_large_or_small_numbers():
+    seen, member = np.ones((3, 1), np.float32), np.array([0, 1, 1])
+    for bias in ([500.0, 499.0], [-500.0, -501.0], [0.0, -1.0]):
+        out = recurrent_lm._log_softmax_at(seen, np.zeros(3, int), member, np.zeros((1, 2, 1), np.float32), np.array([bias], np.float32))
+        assert np.allclose(out, [-0.3133, -1.3133, -1.3133], atol=1e-3)
+
+
+def test_steps_made_up_for_are_those_of_adam():
+    """A symbol that comes once in a while moves as if all windows had moved it."""
+    p = recurrent_lm.Params(vocabulary=40, hidden=2, per_class=4)
+    learner = recurrent_lm.Learner(recurrent_lm.new_network(np.ones(40), p), p)
+    start = learner.net.inputs.copy()
+    learner.done = learner.moved[:] = 300
+    x, m, v = np.zeros((3, 6)), np.zeros((3, 6)), np.zeros((3, 6))
+    rng = np.random.default_rng(3)
+    for t in range(301, 341):
+        own = np.flatnonzero([t in (301, 320), t % 7 == 0, True])
+        g = np.zeros((3, 6))
+        g[own] = rng.standard_normal((len(own), 6))
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x -= 1e-3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+        learner.make_up(own)
+        learner.done, learner.step = t, 1e-3
+        some = [y[0][own] for y in (learner.parts, learner.first, learner.second)]
+        learner.move(some[0], g[own].astype(np.float32), some[1], some[2], 1.0, 1e-3)
+        for y, z in zip((learner.parts, learner.first, learner.second), some, strict=True):
+            y[0][own] = z
+        learner.moved[own] = t
+    learner.make_up(np.arange(40))
+    moved = learner.net.inputs - start
+    assert np.abs(moved[:3] - x).max() < 0.02 * np.abs(x).max() and not moved[3:].any()
+
+
+def test_scores_do_not_depend_on_which_texts_are_held_together(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 40, 900])))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    model = recurrent_lm.fit(df, lambda d: fold(d, 7) != 2, recurrent_lm.Params(vocabulary=16, per_class=4, hidden=8))
+    one, other = (dict(recurrent_lm.score(df, model, F.lit(False), chunk=c, long_=n).select("doc_id", "score").collect()) for c, n in ((10**6, 10**6), (1000, 20)))
+    assert len(one) == 60 and one.keys() == other.keys() and all(abs(one[d] - other[d]) < 1e-4 * abs(one[d]) + 1e-4 for d in one)
+
+
 def test_state_is_carried_over_windows():
     p = recurrent_lm.Params(vocabulary=12, per_class=4, hidden=6)
     net = recurrent_lm.new_network(np.arange(12.0), p)
