@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from jobs import settings
 from walkweave import adapters
 from walkweave.operators import genotypes, variants
-from walkweave.plans.store import scope
+from walkweave.plans.store import materialise, scope
 
 log = logging.getLogger("jobs.sample_calls")
 #: by: `sample`, or `hap` for a row per haplotype of each sample. least: visits of a variant that make a call.
@@ -32,22 +32,28 @@ def run(spark: SparkSession, tables: str, out: str, options: dict | None = None)
         raise ValueError("by is sample or hap")
     hap = F.col("hap") if o["by"] == "hap" else F.lit(None).cast("string")
     with scope(spark):
-        graph = adapters.parts_graph(spark, tables, True)
-        found = variants.variants(graph)
-        taken = genotypes.edge_visits_of_walks(graph, strict=False).groupBy("sample", hap.alias("hap"), "idx").agg(F.sum("n").alias("n"))
+        graph = adapters.parts_graph(spark, tables)
         # Counting by sample comes first, so a variant and its competing edge are a row per sample when they meet.
+        taken = genotypes.edge_visits_of_walks(graph, strict=False).groupBy("sample", hap.alias("hap"), "idx").agg(F.sum("n").alias("n"))
+        taken = materialise(taken, "taken")
         same = lambda a, b: (F.col(f"{a}.sample") == F.col(f"{b}.sample")) & F.col(f"{a}.hap").eqNullSafe(F.col(f"{b}.hap"))
-        competing = variants.reference_edges(graph, found).select("idx", "ref_idx")
-        alt = taken.join(found.select("idx"), "idx").where(F.col("n") >= o["least"]).join(competing, "idx", "left")
-        calls = alt.alias("a").join(taken.alias("r"), same("a", "r") & (F.col("a.ref_idx") == F.col("r.idx")), "left")
+        # Of the tree's edges few are taken beside the variants; they are written, so that calls are dealt to them only where they are many.
+        tree = variants.tree_edges(graph).select("node", F.col("ref_idx").alias("idx"))
+        refs = materialise(taken.join(tree, "idx").select("sample", "hap", "node", "n"), "refs")
+        ends = variants.variant_ends(graph).select("idx", "node")
+        alt = taken.where(F.col("n") >= o["least"]).join(ends, "idx")
+        calls = alt.alias("a").join(refs.alias("r"), same("a", "r") & (F.col("a.node") == F.col("r.node")), "left")
+        # Dealt by idx or by node and not by sample: a sample may have most calls.
         calls = calls.select("a.hap", "a.idx", F.col("a.n").alias("alt_count"), F.coalesce("r.n", F.lit(0)).alias("ref_count"), "a.sample")
-        # By idx and not by sample: a sample may have most calls.
-        calls.repartition("idx").write.mode("overwrite").partitionBy("sample").parquet(f"{out}/calls")
+        found = variants.variants(graph)
+        if not graph.plain:  # else no variant is terminal, so all with ends are found
+            calls = calls.join(found.select("idx"), "idx", "left_semi")
+        calls.write.mode("overwrite").option("compression", "zstd").partitionBy("sample").parquet(f"{out}/calls")
         written = spark.read.schema(CALLS).parquet(f"{out}/calls")
-        shown = found.join(written.select("idx").distinct(), "idx", "left_semi")
-        shown = shown.select("idx", "vtype", variants.vcf_position().cast("long").alias("pos"), F.col("ref_len").cast("long").alias("ref_len"), F.col("alt_len").cast("long").alias("alt_len"))
-        shown.write.mode("overwrite").parquet(f"{out}/variants")
-        coverage = genotypes.coverage_by(genotypes.linear_coverage(graph, strict=False), o["by"])
+        shown = found.select("idx", "vtype", variants.vcf_position().cast("long").alias("pos"), F.col("ref_len").cast("long").alias("ref_len"), F.col("alt_len").cast("long").alias("alt_len"))
+        shown.join(written.select("idx"), "idx", "left_semi").write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/variants")
+        by = ("graph_id", "sample", "hap") if o["by"] == "hap" else ("graph_id", "sample")
+        coverage = genotypes.linear_coverage(graph, False, by)
         coverage.select("sample", hap.alias("hap"), "low", "high").write.mode("overwrite").parquet(f"{out}/coverage")
         log.info("read %d nodes, %d edges and %d walks from %s", graph.nodes.count(), graph.edges.count(), graph.walks.count(), tables)
     shown, coverage = spark.read.parquet(f"{out}/variants"), spark.read.parquet(f"{out}/coverage")
