@@ -15,12 +15,14 @@ from __future__ import annotations
 import argparse
 import logging
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import settings
 from walkweave.plans.build import walk_pairs
+from walkweave.plans.store import delete, tidy
 
 log = logging.getLogger("jobs.word_graph")
 #: language, sample: columns of the documents that name a graph and a walk's sample. files_per_batch: files that a micro-batch takes at most; all are taken in the end.
@@ -61,10 +63,34 @@ def touched(counts: DataFrame, number: int) -> DataFrame:
     return counts.join(F.broadcast(counts.where(F.col("batch") == number).select("lang").distinct()), "lang", "left_semi")
 
 
+#: The folder of the table that a batch writes on its way.
+_WORK: ContextVar[str | None] = ContextVar("word_graph_work", default=None)
+
+
+@contextmanager
+def working(spark: SparkSession, path: str):
+    """What held() writes inside goes in the end; what a crash left is overwritten."""
+    token = _WORK.set(path)
+    try:
+        yield
+    finally:
+        _WORK.reset(token)
+        delete(spark, [path])
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """Written and read again within working(), so that the shuffles before it are gone when those after it begin."""
+    if (path := _WORK.get()) is None:
+        return rows
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def graph(counts: DataFrame) -> DataFrame:
     """The edges of all counts: columns of EDGES."""
     # An edge has a row per sample and batch, so rows are dealt once, by edge, for both sums.
     edges = counts.repartition("lang", "u", "v").groupBy("lang", "sample", "u", "v").agg(F.sum("weight").alias("weight")).groupBy("lang", "u", "v").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("samples"))
+    edges = held(edges)
     # A frequent word has many ways on. The best is found by partial maxima, and the comparison is a join with one row per word, which Spark may split.
     best = edges.groupBy("lang", "u").agg(F.min(F.struct((-F.col("weight")).alias("w"), "v"))["v"].alias("best"))
     return edges.join(best, ["lang", "u"]).select("u", "v", "weight", "samples", (F.col("v") == F.col("best")).alias("main"), "lang")
@@ -92,16 +118,20 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str | None =
     read: list[int] = []
 
     def add(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession  # the stream's own
+        with tidy(batch.sparkSession):  # the stream's own; a batch's shuffles are several times its size, so they go one by one
+            added(batch, number)
+
+    def added(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
         rows, size = batch.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
         read.append(rows)
         with sized(session, size, TEXT) as parts:
             # Files may be large, so texts are dealt before their pairs are counted.
             own = counted(batch.repartition(parts) if size > TEXT else batch, o["language"], o["sample"])
-            own.write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
+            own.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/counts/batch={number}")
         counts = session.read.schema(COUNTS).parquet(f"{out}/counts").where(F.col("batch") <= number)
-        with sized(session, counts.count(), ROWS):
-            graph(touched(counts, number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{out}/edges")
+        with sized(session, counts.count(), ROWS), working(session, f"{out}/work"):
+            graph(touched(counts, number)).write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("lang").parquet(f"{out}/edges")
         of_batch = counts.where(F.col("batch") == number)
         log.info("batch %d: read %d documents, wrote %d rows of counts, %d languages of edges", number, read[-1], of_batch.count(), of_batch.select("lang").distinct().count())
 
